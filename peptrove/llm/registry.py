@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, sharding
+from . import decontamination, licenses, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_aho_corasick": decontamination.op2_aho_corasick,
+    "op5_rare_token_index": licenses.op5_rare_token_index,
     "op6_sampled_splitters": sharding.op6_sampled_splitters,
     "op7_sum_of_squares": packing.op7_sum_of_squares,
 }
