@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, packing, sharding
+from . import decontamination, jaccard, licenses, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_aho_corasick": decontamination.op2_aho_corasick,
     "op5_rare_token_index": licenses.op5_rare_token_index,
     "op6_sampled_splitters": sharding.op6_sampled_splitters,
     "op7_sum_of_squares": packing.op7_sum_of_squares,
+    "op10_minhash_forest": jaccard.op10_minhash_forest,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_aho_corasick": decontamination.OP2_SQL}
