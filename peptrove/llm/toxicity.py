@@ -33,8 +33,8 @@ HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 PAIRS = 4096
 VOCABULARY = 20_000
 #: the bound of the training sample: rows, and bytes of a row's text
-SAMPLE, SAMPLE_BYTES = 4000, 65_536
-EPOCHS, BATCH, RATE = 6, 64, 0.01
+SAMPLE, SAMPLE_BYTES = 4000, 32_768
+EPOCHS, BATCH, RATE = 4, 64, 0.01
 HELD_OUT = 5
 REST = np.float32(-30.0)  # update gate of a place without a word
 
@@ -68,10 +68,11 @@ class Lookup:
         return np.where(out >= len(self.keys) - 1, -1, out)
 
 
-def pair_numbers(raw: np.ndarray) -> np.ndarray:
+def pair_numbers(raw: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
     """A number from 1 for each byte with the one before it, 0 for spaces."""
-    before = np.empty_like(raw)
-    before[:1], before[1:] = 0x20, raw[:-1]
+    if before is None:
+        before = np.empty_like(raw)
+        before[:1], before[1:] = 0x20, raw[:-1]
     n = 1 + (before.astype(np.int32) * 61 + raw) * 40503 % (PAIRS - 1)
     return np.where(raw == 0x20, 0, n)
 
@@ -174,15 +175,33 @@ class Network:
         g["x"], g["bias"] = x.T @ drows, drows.sum(0)
         return y, g, drows @ self.p["x"].T
 
-    def inputs(self, known: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: np.ndarray) -> np.ndarray:
-        letters = np.add.reduceat(self.p["char"][pair_numbers(raw)], starts, axis=0)
-        return np.concatenate([self.p["word"][known], letters / (ends - starts)[:, None].astype(np.float32)], 1)
+    def freeze(self, pairs: np.ndarray) -> None:
+        """Gate inputs of the known words, from their letter pairs (rows padded with 0)."""
+        letters = self.p["char"][pairs].sum(1) / np.maximum(1, (pairs > 0).sum(1))[:, None].astype(np.float32)
+        self.table = np.concatenate([self.p["word"][:-1], letters], 1) @ self.p["x"] + self.p["bias"]
+
+    def unknown(self, starts: np.ndarray, ends: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """Gate inputs of the other words."""
+        length = ends - starts
+        if not len(length):
+            return np.zeros((0, 6 * HIDDEN), np.float32)
+        first = np.cumsum(length) - length
+        at = np.arange(first[-1] + length[-1]) + np.repeat(starts - first, length)
+        before = np.where(at > 0, raw[at - 1], 0x20)
+        letters = np.add.reduceat(self.p["char"][pair_numbers(raw[at], before)], first, axis=0) / length[:, None].astype(np.float32)
+        return letters @ self.p["x"][WORD_DIM:] + (self.p["word"][-1] @ self.p["x"][:WORD_DIM] + self.p["bias"])
 
     def scores(self, texts: list[bytes], lookup: Lookup) -> np.ndarray:
         best = np.full(len(texts), -np.inf, np.float32)
+        n = len(self.vocabulary)
+        none = self.rows(np.zeros((0, WORD_DIM + CHAR_DIM), np.float32))
         for first, docs, hashes, starts, ends, raw in read(texts):
             at, own = windows(docs)
-            y = self.logits(self.rows(self.inputs(lookup(hashes), starts, ends, raw)), at)
+            row = np.append(lookup(hashes), 0)
+            new = np.flatnonzero(row < 0)
+            row[new] = n + np.arange(len(new))
+            row[-1] = n + len(new)
+            y = self.logits(np.concatenate([self.table, self.unknown(starts[new], ends[new], raw), none]), row[at])
             np.maximum.at(best, first + own, y)
         return np.where(np.isfinite(best), sigmoid(best.astype(np.float64)), self.prior)
 
@@ -204,6 +223,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
         net = Network(np.empty(0, np.uint64), seed)
         net.prior = float(wanted.mean()) if len(wanted) else 0.5
         net.p["out"][:] = 0
+        net.freeze(np.zeros((0, 1), np.int32))
         net.p["b"][0] = np.log((net.prior + 1e-6) / (1 - net.prior + 1e-6))
         return net
     docs, hashes = np.concatenate(docs), np.concatenate(hashes)
@@ -258,6 +278,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
                 s += 0.01 * (g[k] ** 2 - s)
                 v -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
             net.p["char"][0] = 0
+    net.freeze(pairs[np.searchsorted(distinct, net.vocabulary)])
     return net
 
 
