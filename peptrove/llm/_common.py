@@ -10,6 +10,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN_DIR: dict[str, str] = {}
 
@@ -77,3 +78,13 @@ def chunks(values: list[bytes], most: int) -> Iterator[tuple[int, int]]:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def extended(kept: T.StructType, more: str) -> T.StructType:
+    """The kept columns' schema with the columns of a DDL string after them."""
+    return T.StructType([*kept.fields, *T.StructType.fromDDL(more).fields])
+
+
+def as_one(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns as one struct beside the text, so that no name of theirs can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(text_col).alias("text"))

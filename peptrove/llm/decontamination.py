@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, table, texts_of
+from ._common import as_one, extended, materialize, table, texts_of
 from ._words import WORD_RE, words
 
 WINDOW = 13
@@ -104,7 +104,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str =
     spark = docs.sparkSession
     blocks = item_blocks(benchmark, block_bytes, item_col, item_text)
     kept = docs.select(*keep).schema
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     text = "__text"
     state = docs.select(*keep, F.col(text_col).alias(text), *(F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split(" ", 1)[0]) for c in CARRY.split(", ")))
     for k, block in enumerate(blocks):
@@ -142,8 +141,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str =
                 out |= {"item_ids": pa.array(ids, long_list), "hit_from": pa.array(los, long_list), "hit_to": pa.array(his, long_list)}
                 yield pa.RecordBatch.from_pydict(out)
 
-        middle = "n_words long, n_hit long" if last else f"{text} string"
-        state = state.mapInArrow(run, f"{head}, {middle}, {CARRY}")
+        middle = "n_words long, n_hit long" if last else f"`{text}` string"
+        state = state.mapInArrow(run, extended(kept, f"{middle}, {CARRY}"))
         if not last:
             state = materialize(state, "decontamination-block")
     return state if spans else state.drop("hit_from", "hit_to")
@@ -165,7 +164,7 @@ def is_contaminated(share: int = SHARE):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with their columns."""
-    return scan(docs, benchmark, docs.columns).where(~is_contaminated()).select(*docs.columns)
+    return scan(as_one(docs), benchmark, ["__row"]).where(~is_contaminated()).select("__row.*")
 
 
 def op2_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, licenses, lm, packing, sharding, toxicity
+from . import decontamination, extraction, jaccard, licenses, lm, packing, secret_scan, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bidirectional_gru": toxicity.op1_bidirectional_gru,
     "op2_aho_corasick": decontamination.op2_aho_corasick,
+    "op3_random_forest": secret_scan.op3_random_forest,
     "op4_context_tree_weighting": lm.op4_context_tree_weighting,
     "op5_rare_token_index": licenses.op5_rare_token_index,
     "op6_sampled_splitters": sharding.op6_sampled_splitters,
     "op7_sum_of_squares": packing.op7_sum_of_squares,
+    "op8_linear_chain": extraction.op8_linear_chain,
     "op10_minhash_forest": jaccard.op10_minhash_forest,
 }
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import chunks, crc32_of_id, table, texts_of
+from ._common import as_one, chunks, crc32_of_id, extended, table, texts_of
 from ._words import hash_spans, pieces, spans_of
 
 WINDOW, STRIDE = 32, 24
@@ -308,8 +308,12 @@ def score(docs: DataFrame, net: Network, keep: list[str], text_col: str = "text"
             out = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if f.name in kept.names}
             yield pa.RecordBatch.from_pydict(out | {"score": pa.array(scores.astype(np.float64))})
 
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(run, head + "score double")
+    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(run, extended(kept, "score double"))
+
+
+def drop_toxic(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
+    """The rows that score below the threshold, with their columns."""
+    return score(as_one(docs), net, ["__row"]).where(F.col("score") < threshold).select("__row.*")
 
 
 def op1_bidirectional_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
