@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, extraction, jaccard, licenses, lm, packing, secret_scan, sharding, toxicity
+from . import decontamination, extraction, jaccard, licenses, lm, media, packing, secret_scan, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bidirectional_gru": toxicity.op1_bidirectional_gru,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sampled_splitters": sharding.op6_sampled_splitters,
     "op7_sum_of_squares": packing.op7_sum_of_squares,
     "op8_linear_chain": extraction.op8_linear_chain,
+    "op9_local_descriptors": media.op9_local_descriptors,
     "op10_minhash_forest": jaccard.op10_minhash_forest,
 }
 
