@@ -1,15 +1,8 @@
-"""Queries by name, and their DuckDB SQL."""
+"""All plans by name, with their DuckDB SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import details, facts, rollups, signals  # noqa: F401  registers the queries
+from .roles import ORACLE_SQL, QUERIES
 
-
-def top_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.groupBy("l_partkey").agg(F.count("*").alias("n_obs")).orderBy(F.desc("n_obs"), "l_partkey").limit(100)
-
-
-QUERIES = {"top_peptides": top_peptides}
-ORACLE_SQL = {"top_peptides": "SELECT l_partkey, count(*) AS n_obs FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100"}
+__all__ = ["ORACLE_SQL", "QUERIES"]
