@@ -78,7 +78,7 @@ def pearson(a: Column, b: Column) -> Column:
     """Correlation of two arrays of one length; null if either is constant (SF25)."""
     z = F.arrays_zip(a.alias("a"), b.alias("b"))
     add = lambda f: F.aggregate(F.transform(z, f), F.lit(0.0), lambda s, v: s + v)
-    n = F.size(z)
+    n = F.greatest(F.size(z), F.lit(1))
     sa, sb = add(lambda p: p["a"]), add(lambda p: p["b"])
     cov, va, vb = add(lambda p: p["a"] * p["b"]) - sa * sb / n, add(lambda p: p["a"] * p["a"]) - sa * sa / n, add(lambda p: p["b"] * p["b"]) - sb * sb / n
     return F.when((va > 1e-12) & (vb > 1e-12), cov / F.sqrt(va * vb))
