@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,20 @@ def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+#: plan nodes under which rows keep their partition and order whatever columns are read
+STEADY = re.compile(r"^(Project|Filter|Relation|LocalRelation|LogicalRDD|SubqueryAlias|MapInArrow)\b")
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """``df`` if with_row_id() numbers its rows alike in every read, else a written copy of it.
+
+    A scan does; a shuffle doesn't, because reading fewer columns may deal rows otherwise.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [re.sub(r"^[\s:+\-]*", "", line) for line in plan.splitlines() if line.strip()]
+    return df if all(STEADY.match(n) for n in nodes) else materialize(df, "rows")
+
+
 def crc32_of_id(col: str = "doc_id"):
     """crc32 of an integer id written as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

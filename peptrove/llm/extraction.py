@@ -345,11 +345,14 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, list[str]]]:
             inner = f"<main><article>{inner}</article></main>"
         elif shell < 0.95:
             inner = f'<div {pick("class", "id")}="{pick("content", "post-content", "article-body", "entry-content", "main", "story")}">{inner}</div>'
+        bare = rng.random() < 0.15
         before = [junk(k) for k in ("nav", "header", "notice", "ad", "form", "nav") if rng.random() < 0.45]
         after = [junk(k) for k in ("share", "ad", "comments", "side", "form", "notice", "foot") if rng.random() < 0.45]
         if rng.random() < 0.5:
             before.append(junk("side")) if rng.random() < 0.4 else after.insert(0, junk("side"))
-        title = f"<title>{main[0] if main and rng.random() < 0.7 else words(2, 6)}</title>"
+        if bare:  # an article on its own
+            before, after = [], []
+        title = "" if rng.random() < 0.2 else f"<title>{main[0] if main and rng.random() < 0.7 else words(2, 6)}</title>"
         script = pick("", '<script>var t="</p>";go(0);</script>', "<style>p{margin:0}</style>")
         end = pick("</body></html>", "")
         page = f'<!DOCTYPE html><html lang="{pick("en", "de", "fr")}"><head><meta charset="utf-8">{title}{script}</head><body>{"".join(before)}<!-- {word()} -->{inner}{"".join(after)}{end}'

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import chunks, materialize, table, texts_of, with_row_id
+from ._common import chunks, materialize, steady, table, texts_of, with_row_id
 from ._words import hashed, mix64
 from .components import components
 
@@ -228,7 +228,7 @@ def chunk_count():
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """rid, doc_id, class_rid, class_id, n_links, n_copies for every row; rid as with_row_id() numbers them."""
     k = prefix_length(trees, depth, threshold, recall)
-    rows = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("rid", "doc_id", "text")
+    rows = with_row_id(steady(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("rid", "doc_id", "text")
     sig = materialize(signatures(rows, k, trees), "signatures")
     worded = sig.where("n_words > 0")
     reps = worded.groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
@@ -264,6 +264,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 def dedupe(docs: DataFrame, **options) -> DataFrame:
     """One row of each class stays: the first by (doc_id, row)."""
+    docs = steady(docs)
     found = classes(docs, **options)
     kept = found.groupBy("class_rid").agg(F.min(F.struct("doc_id", "rid")).alias("k")).select(F.col("k.rid").alias("__rid"))
     return with_row_id(docs, "__rid").join(kept, "__rid", "left_semi").select(*docs.columns)

@@ -147,7 +147,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     y = x + 8
     shift = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
     i = 1 / y
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + i / 12 - i**3 / 360 + i**5 / 1260 - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + i / 12 - i**3 / 360 + i**5 / 1260 - i**7 / 1680 - shift
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ PAIRS = 4096
 VOCABULARY = 20_000
 #: the bound of the training sample: rows, and bytes of a row's text
 SAMPLE, SAMPLE_BYTES = 4000, 32_768
-EPOCHS, BATCH, RATE = 4, 64, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 240, 64, 0.01
 HELD_OUT = 5
 REST = np.float32(-30.0)  # update gate of a place without a word
 
@@ -252,8 +252,10 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
     begin, end = np.searchsorted(docs, np.arange(len(texts))), np.searchsorted(docs, np.arange(len(texts)), "right")
     rng, moment = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, worded = 0, np.flatnonzero(end > begin)
+    n_parts = max(1, len(worded) // BATCH)
+    epochs = max(epochs, -(-LEAST_STEPS // n_parts))
     for epoch in range(epochs):
-        for part in np.array_split(rng.permutation(worded), max(1, len(worded) // BATCH)):
+        for part in np.array_split(rng.permutation(worded), n_parts):
             place = np.concatenate([np.arange(begin[k], end[k]) for k in part])
             letters, which = np.unique(token[place], return_inverse=True)
             char = net.p["char"][pairs[letters]].sum(1) / lengths[letters][:, None]
