@@ -3,13 +3,13 @@
 An image is a byte string: binary PGM or PPM, or 8-bit PNG that isn't
 interlaced.  Corners are local maxima of the Harris response at several
 scales; each gets the direction of its patch's intensity centroid and 128
-brightness tests turned into that direction.  Descriptors are cut into 32-bit
-parts, and equal parts at equal places meet in a table join, which finds every
-pair of descriptors that differ in fewer bits than there are parts.  In a
-bucket, which may hold a third of all rows, every member meets its first and
-last member only, so the join stays linear; copies share many buckets.  Pairs
-of images whose descriptors match are kept if one similarity transform (from
-the corners' places, scales and directions) explains enough matches.  Classes
+brightness tests turned into that direction.  Each of eight Hamming tables keys a
+descriptor by 40 of its bits, so descriptors that differ elsewhere only meet in
+a join.  In a bucket, which may hold a third of all rows, every member meets
+its first and last member only, so the join stays linear; copies share many
+buckets.  Images that meet in two corners or more are compared by all their
+descriptors, and kept as a pair if one similarity transform (from the corners'
+places, scales and directions) explains enough of the nearest matches.  Classes
 are the components of the pairs that are kept.
 
 Images of the same bytes are one node from the start.  Defined cases: null,
@@ -28,19 +28,21 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, table, with_row_id
+from ._common import materialize, steady, table, with_row_id
 from .components import components
 
 SCALES = 2
-CORNERS = 28
-RADIUS, MARGIN = 9, 11
-BITS, PART = 128, 32
+CORNERS = 24
+RADIUS, MARGIN = 14, 15
+BITS = 128
+#: Hamming tables and the bits each takes; corners that two images must meet in
+TABLES, TABLE_BITS, MEET = 8, 40, 2
 TURNS = 32
 #: bits that matching descriptors may differ in; pixels a match may be off; matches that agree
-FAR, OFF, AGREE = 24, 4.0, 6
+FAR, OFF, AGREE = 28, 4.0, 6
 SIDE = 64
 
 
@@ -87,6 +89,8 @@ def decode_png(data: bytes) -> np.ndarray | None:
         elif kind == b"IDAT":
             packed += body
         at += 12 + n
+    if head is None:
+        return None
     w, h, depth, colour, interlaced = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), head[8], head[9], head[12]
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
     if depth != 8 or interlaced or channels is None:
@@ -198,25 +202,35 @@ def describe(images: list[np.ndarray | None], most: int = 1 << 21) -> tuple[np.n
     return tuple(np.concatenate(v) for v in zip(*parts, strict=True))
 
 
+def table_keys(bits: np.ndarray) -> np.ndarray:
+    """(corners, TABLES): the table's number and its bits of each descriptor."""
+    flat = np.unpackbits(bits, axis=1)
+    out = np.zeros((len(bits), TABLES), np.int64)
+    rng = np.random.default_rng(17)
+    for t in range(TABLES):
+        own = rng.choice(BITS, TABLE_BITS, replace=False)
+        out[:, t] = (flat[:, own].astype(np.int64) << np.arange(TABLE_BITS)).sum(1) | (t << TABLE_BITS)
+    return out
+
+
 def descriptors(images: DataFrame) -> DataFrame:
-    """node, corner, y, x, scale, turn, bits from rows (node, image)."""
+    """node, at (y, x, scale and turn of each corner), bits and keys of its corners, from rows (node, image)."""
 
     def run(batches):
         for batch in batches:
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            nodes = batch.column(0).to_pylist()
             data = batch.column(1).to_pylist()
             for lo in range(0, len(data), 512):
                 image, y, x, scale, turn, bits = describe([decode(d) for d in data[lo : lo + 512]])
+                at, keys, out = np.column_stack([y, x, scale, turn]).astype(np.int32), table_keys(bits), []
                 order = np.argsort(image, kind="stable")
-                image, y, x, scale, turn, bits = (v[order] for v in (image, y, x, scale, turn, bits))
-                first = np.searchsorted(image, image)
-                yield pa.RecordBatch.from_pydict({
-                    "node": pa.array(nodes[lo + image].astype(np.int64)), "corner": pa.array((np.arange(len(image)) - first).astype(np.int32)),
-                    **{k: pa.array(v.astype(np.int32)) for k, v in (("y", y), ("x", x), ("scale", scale), ("turn", turn))},
-                    "bits": pa.array([b.tobytes() for b in bits], pa.binary()),
-                })
+                for own in np.split(order, np.flatnonzero(np.diff(image[order])) + 1) if len(order) else []:
+                    out.append((nodes[lo + int(image[own[0]])], at[own].ravel().tolist(), bits[own].tobytes(), keys[own].ravel().tolist()))
+                if out:
+                    n, a, b, k = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_pydict({"node": pa.array(n, pa.int64()), "at": pa.array(a, pa.list_(pa.int32())), "bits": pa.array(b, pa.binary()), "keys": pa.array(k, pa.list_(pa.int64()))})
 
-    return images.select("node", "image").mapInArrow(run, "node long, corner int, y int, x int, scale int, turn int, bits binary")
+    return images.select("node", "image").mapInArrow(run, "node long, at array<int>, bits binary, keys array<long>")
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> int:
@@ -233,68 +247,52 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-def consensus(matches: DataFrame, least: int) -> DataFrame:
-    """(a, b) with enough agreeing matches, from rows a, b, p and q (struct y, x, scale, turn)."""
+def same_picture(at: np.ndarray, bits: np.ndarray, other_at: np.ndarray, other_bits: np.ndarray, far: int, least: int) -> bool:
+    """Whether enough of the mutually nearest descriptors agree on one transform."""
+    distance = np.bitwise_count(bits[:, None, :] ^ other_bits[None, :, :]).sum(2)
+    near, back = distance.argmin(1), distance.argmin(0)
+    i = np.flatnonzero((back[near] == np.arange(len(near))) & (distance[np.arange(len(near)), near] <= far))
+    return len(i) >= least and agreeing(at[i].astype(np.float64), other_at[near[i]].astype(np.float64)) >= least
 
-    def run(batches):
-        pair, held = None, []
 
-        def kept():
-            m = np.array(sorted(set(held)), np.float64)
-            return len(m) >= least and agreeing(m[:, :4], m[:, 4:]) >= least
+def consensus(pairs: DataFrame, points: DataFrame, far: int, least: int) -> DataFrame:
+    """The pairs (a, b) of images whose corners agree."""
 
+    def run(batches):
         for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != pair:
-                    if held and kept():
-                        out.append(pair)
-                    pair, held = row[:2], []
-                held.append(row[2:])
-            if out:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out]), "b": pa.array([p[1] for p in out])})
-        if held and kept():
-            yield pa.RecordBatch.from_pydict({"a": pa.array([pair[0]]), "b": pa.array([pair[1]])})
-
-    names = ["y", "x", "scale", "turn"]
-    flat = matches.select("a", "b", *(F.col(f"p.{n}").alias(f"p_{n}") for n in names), *(F.col(f"q.{n}").alias(f"q_{n}") for n in names))
-    return flat.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
-
-
-def part_of(k: int) -> Column:
-    return F.xxhash64(F.lit(k), F.substring("bits", 1 + k * PART // 8, PART // 8))
-
-
-def difference(a: str, b: str) -> Column:
-    """Bits that two descriptors differ in."""
-    out = F.lit(0)
-    for k in range(0, BITS // 8, 4):
-        word = lambda c, k=k: F.conv(F.hex(F.substring(c, 1 + k, 4)), 16, 10).cast("long")
-        out = out + F.bit_count(word(a).bitwiseXOR(word(b)))
-    return out
+            kept = []
+            for i, (at, bits, other_at, other_bits) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
+                places = [np.array(v).reshape(-1, 4) for v in (at, other_at)]
+                tests = [np.frombuffer(v, np.uint8).reshape(-1, BITS // 8) for v in (bits, other_bits)]
+                if same_picture(places[0], tests[0], places[1], tests[1], far, least):
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(kept, pa.int64())) for c in batch.columns[:2]], names=["a", "b"])
+
+    one = points.select(F.col("node").alias("a"), F.col("at").alias("at_a"), F.col("bits").alias("bits_a"))
+    two = points.select(F.col("node").alias("b"), F.col("at").alias("at_b"), F.col("bits").alias("bits_b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "at_a", "bits_a", "at_b", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def meetings(points: DataFrame) -> DataFrame:
+    """Images (a, b) that share a table's key in MEET corners or more. The tables hold numbers only."""
+    parts = points.select("node", F.posexplode("keys").alias("i", "key")).select(((F.col("node") * 64) + F.floor(F.col("i") / TABLES)).alias("c"), "key")
+    node = lambda c: F.shiftright(c, 6)
+    buckets = parts.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(node("low") != node("high"))
+    met = parts.join(buckets, "key").select("c", F.explode(F.array("low", "high")).alias("o")).where(node("c") != node("o"))
+    met = met.select(F.least("c", "o").alias("c"), F.greatest("c", "o").alias("o")).distinct().withColumn("a", node("c")).withColumn("b", node("o"))
+    often = met.groupBy("a", "b").agg(F.count_distinct("c").alias("n"), F.count_distinct("o").alias("m"))
+    return often.where((F.col("n") >= MEET) & (F.col("m") >= MEET)).select("a", "b")
 
 
 def classes(images: DataFrame, id_col: str, image_col: str = "image", far: int = FAR, least: int = AGREE) -> DataFrame:
     """id, class_id (least id of the class), n_same (images of the same bytes) and n_class for every row."""
-    rows = with_row_id(images.select(F.col(id_col).alias("id"), F.col(image_col).alias("image")))
+    rows = with_row_id(steady(images).select(F.col(id_col).alias("id"), F.col(image_col).alias("image")))
     rows = rows.withColumn("h1", F.xxhash64("image")).withColumn("h2", F.xxhash64(F.lit(1), F.reverse(F.hex("image"))))
     sums = materialize(rows.select("rid", "id", F.when(F.col("image").isNotNull(), F.col("h1")).otherwise(F.col("rid")).alias("h1"), F.when(F.col("image").isNotNull(), F.col("h2")).alias("h2")), "image-sums")
     nodes = materialize(sums.groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.count("*").alias("n_same"), F.min("id").alias("least_id")), "image-nodes")
     own = rows.select(F.col("rid").alias("node"), "image").join(nodes.select("node"), "node", "left_semi").where(F.col("image").isNotNull())
     points = materialize(descriptors(own), "corners")
-    point = F.struct("y", "x", "scale", "turn").alias("at")
-    parts = points.select("node", "corner", "bits", point, F.explode(F.array(*(part_of(k) for k in range(BITS // PART)))).alias("key"))
-    me = F.struct("node", "corner", "bits", "at")
-    buckets = parts.groupBy("key").agg(F.min(me).alias("low"), F.max(me).alias("high")).where("low.node <> high.node")
-    met = parts.join(buckets, "key")
-    pairs = met.select("node", "bits", "at", F.explode(F.array("low", "high")).alias("o")).where("node <> o.node")
-    first = F.col("node") < F.col("o.node")
-    pairs = pairs.where(difference("bits", "o.bits") <= far).select(
-        F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), F.when(first, F.col("at")).otherwise(F.col("o.at")).alias("p"), F.when(first, F.col("o.at")).otherwise(F.col("at")).alias("q")
-    )
-    pairs = materialize(pairs.distinct(), "matches")
-    often = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
-    links = consensus(pairs.join(often, ["a", "b"], "left_semi"), least)
+    links = consensus(meetings(points), points, far, least)
     stars = components(links)
     info = nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     info = materialize(info, "image-classes")
@@ -333,4 +331,4 @@ def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
 
 def op9_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(materialize(rendered(table(spark, sf_dir, "embeddings")), "media"), "vec_id")
+    return classes(rendered(table(spark, sf_dir, "embeddings")), "vec_id")
