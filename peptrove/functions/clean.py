@@ -117,3 +117,20 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
 
 def minus_log10(p: Column, floor: float = 1e-300) -> Column:
     return -F.log10(F.greatest(p, F.lit(floor)))
+
+
+def acquisition(platform: Column) -> Column:
+    """The acquisition label that a platform gives data-independent searches."""
+    return F.when(platform == "timstof", "diaPASEF").otherwise("DIA")
+
+
+def platform(has_mobility: Column, run: Column) -> Column:
+    """Of aggregated columns: real mobility, or run folders without raw files."""
+    low = F.lower(run)
+    folders, raws = F.bool_or(low.endswith(".d")), F.bool_or(low.endswith(".raw") | low.endswith(".mzml"))
+    return F.when(F.bool_or(has_mobility) | (folders & ~raws), "timstof").otherwise("orbitrap")
+
+
+def has_replicates(condition: Column) -> Column:
+    """Whether a row's condition names anything; with count() a design of single runs shows (SF17)."""
+    return F.nullif(F.trim(condition), F.lit("")).isNotNull()

@@ -120,3 +120,30 @@ def path_provenance(path: Column, home: str = "home institution", core: str = "c
         F.when(out & on, part(start)).when(out, part(start + 1)).alias("pi"),
         F.when(out & on, part(start + 1)).when(out, part(start + 2)).when(lab > 0, part(lab + 1)).alias("project"),
     )
+
+
+def canonical_institute(name: Column, rules: list[tuple[str, str]], none: str = "(institute not given)") -> Column:
+    """One display name for the spellings that a rule (pattern, name) recognises, the first rule
+    first; other names stay as they are (SF15)."""
+    s = F.trim(F.coalesce(name, F.lit("")))
+    n = F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[.,\-/]", " "), r"\s+", " "))
+    out = s
+    for pattern, display in reversed(rules):
+        out = F.when(n.rlike(pattern), display).otherwise(out)
+    return F.when(s == "", none).otherwise(out)
+
+
+def is_binomial(organism: Column) -> Column:
+    """Genus species, with a strain in brackets at most (SF17)."""
+    return F.coalesce(F.trim(organism).rlike(r"^[A-Z][a-z]+ [a-z]+(?:\s*\([^)]*\))?$"), F.lit(False))
+
+
+def is_narrative(organism: Column) -> Column:
+    """A sentence about a construct instead of an organism (SF17)."""
+    long = F.size(F.split(F.trim(organism), r"\s+")) > 4
+    return F.coalesce(long | F.lower(organism).rlike("clone|express|recombinant|tagged| from |construct| host|cell line|transfect"), F.lit(False))
+
+
+def inline_sequences(description: Column, least: int = 25) -> Column:
+    """Protein sequences written out in a text (SF17)."""
+    return F.regexp_extract_all(F.replace(description, F.lit("\n"), F.lit(" ")), F.lit(f"([ACDEFGHIKLMNPQRSTVWY]{{{least},}})"), F.lit(1))

@@ -117,6 +117,7 @@ def isotonic_residuals(df: DataFrame, x: str, y: str, key: str, folds: int = 5,
     from pyspark.ml.regression import IsotonicRegression
 
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    rows = rows.select(key, x, y, "fold").persist()  # each fold reads it twice
     if rows.count() < least:
         return rows.limit(0).select(key, "fold", F.lit(None).cast("double").alias("residual"))
     parts = []
