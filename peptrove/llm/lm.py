@@ -10,8 +10,9 @@ seen leaves the prediction to the deepest one that was.  A text ends with a
 byte that UTF-8 never has, so the probabilities of all texts sum to at most 1.
 
 The counts are of six-byte strings, gathered by a shuffle; the part of the
-tree below two context bytes is worked out by the tasks that hold its strings,
-the top (256 contexts of 255 nodes) on the driver.  The result is a table of
+tree below three context bytes is worked out by the tasks that hold its strings
+(16.7 million at most share three), the top from sums of two context bytes and a
+node, of which there are 16.7 million at most and a few 100,000 in practice.  The result is a table of
 the log probability of every six-byte string of the corpus.  Texts are scored
 in one pass: the most frequent strings and tokens, up to a fixed number, are
 broadcast; the others go through a join, so no bound drops any.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._common import crc32_of_id, materialize, table, texts_of, with_row_id
 
-DEPTH = 5
+DEPTH, TOP = 5, 3
 END = b"\xff"
 MODULUS, HELD_OUT = 7, 2
 #: how many strings, and tokens, are broadcast at most
@@ -156,9 +157,9 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Branch:
-    """The tree below the first two context bytes for some sorted codes with training counts."""
+    """The tree from TOP context bytes on for some sorted codes with training counts."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, top: int = 2):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, top: int = TOP):
         self.top, self.codes, self.up = top, {DEPTH: codes}, {}
         self.counts = {DEPTH: counts.astype(np.float64)}
         for d in range(DEPTH - 1, top - 1, -1):
@@ -188,7 +189,7 @@ class Branch:
         return out
 
     def totals(self) -> dict[str, np.ndarray]:
-        """Per first context byte and node: zeros, ones, log weighted probabilities below."""
+        """Per context of TOP - 1 bytes and node: zeros, ones, log weighted probabilities below."""
         parts = []
         for k in range(8):
             node, zeros, ones, _, weighted, first = self.level(k)[self.top]
@@ -202,7 +203,6 @@ class Branch:
     def log10(self, crown: Crown) -> np.ndarray:
         """Log10 probability of every code's byte after its context."""
         codes, total = self.codes[DEPTH], np.zeros(len(self.codes[DEPTH]))
-        near = (codes >> np.uint64(8 * DEPTH)).astype(np.int64)
         for k in range(8):
             at = {DEPTH: np.arange(len(codes))}
             for d in range(DEPTH - 1, self.top - 1, -1):
@@ -222,26 +222,26 @@ class Branch:
                     w = np.exp(HALF + own - weighted)[n]
                     q = np.where(seen, w * kt + (1 - w) * q, kt)
                 seen = (zeros + ones)[n] > 0
-            total += np.log10(crown.mix(near, prefix, bit, q, seen))
+            total += np.log10(crown.mix(codes, prefix, bit, q, seen))
         return total
 
 
 class Crown:
-    """The nodes without context and with one context byte."""
-
-    def __init__(self, cells: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray):
-        z, o, s = np.zeros((3, 256 * 256))
-        z[cells], o[cells], s[cells] = zeros, ones, weighted
-        z, o, s = (x.reshape(256, 256) for x in (z, o, s))
-        own = log_kt(z, o)
-        all_ = HALF + np.logaddexp(own, s)
-        self.counts1, self.weight1 = (z, o), np.exp(HALF + own - all_)
-        z0, o0 = z.sum(0), o.sum(0)
-        own0 = log_kt(z0, o0)
-        self.counts0, self.weight0 = (z0, o0), np.exp(HALF + own0 - (HALF + np.logaddexp(own0, all_.sum(0))))
-
-    def mix(self, near: np.ndarray, prefix: np.ndarray, bit: np.ndarray, q: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        for (zeros, ones), weight, at in ((self.counts1, self.weight1, (near, prefix)), (self.counts0, self.weight0, prefix)):
+    """The nodes of less than TOP context bytes, as sorted cells (context and node) of each depth."""
+
+    def __init__(self, cells: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
+        self.depths = []
+        for d in range(TOP - 1, -1, -1):
+            own = log_kt(zeros, ones)
+            weighted = HALF + np.logaddexp(own, below)
+            self.depths.append((d, cells, zeros, ones, np.exp(HALF + own - weighted)))
+            cells, at = np.unique(((cells >> 16) << 8) | (cells & 255), return_inverse=True)
+            zeros, ones, below = (np.bincount(at, v, len(cells)) for v in (zeros, ones, weighted))
+
+    def mix(self, codes: np.ndarray, prefix: np.ndarray, bit: np.ndarray, q: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        for d, cells, zeros, ones, weight in self.depths:
+            context = (codes >> np.uint64(8 * (DEPTH + 1 - d))).astype(np.int64)
+            at = np.searchsorted(cells, (context << 8) | prefix)
             z, o = zeros[at], ones[at]
             kt = (np.where(bit == 1, o, z) + 0.5) / (z + o + 1)
             q = np.where(seen, weight[at] * kt + (1 - weight[at]) * q, kt)
@@ -250,15 +250,15 @@ class Crown:
 
 
 def branches(batches, at_least: int = 100_000):
-    """Codes and counts from sorted batches, whole contexts of two bytes together."""
+    """Codes and counts from sorted batches, whole contexts of TOP bytes together."""
     codes, counts, size = [], [], 0
     for batch in batches:
         c = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
         n = batch.column(1).to_numpy(zero_copy_only=False)
         while len(c):
             if size >= at_least:
-                last = codes[-1][-1] >> np.uint64(8 * (DEPTH - 1))
-                end = int(np.searchsorted(c >> np.uint64(8 * (DEPTH - 1)), last, "right"))
+                last = codes[-1][-1] >> np.uint64(8 * (DEPTH + 1 - TOP))
+                end = int(np.searchsorted(c >> np.uint64(8 * (DEPTH + 1 - TOP)), last, "right"))
                 if end < len(c):
                     yield np.concatenate([*codes, c[:end]]), np.concatenate([*counts, n[:end]])
                     codes, counts, size, c, n = [], [], 0, c[end:], n[end:]
@@ -273,20 +273,21 @@ def branches(batches, at_least: int = 100_000):
 
 def string_model(strings: DataFrame) -> DataFrame:
     """code, lp (log10 of the byte after its context) for strings (code, n, every)."""
-    dealt = strings.select("code", "n", "every").repartition(F.shiftright("code", 8 * (DEPTH - 1))).sortWithinPartitions("code")
+    dealt = strings.select("code", "n", "every").repartition(F.shiftright("code", 8 * (DEPTH + 1 - TOP))).sortWithinPartitions("code")
 
     def gather(batches):
         for codes, counts in branches(batches):
             yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in Branch(codes, counts).totals().items()})
 
     cells = dealt.mapInArrow(gather, "cell long, zeros double, ones double, weighted double")
-    rows = cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).collect()  # 65,280 at most
-    rows.sort(key=lambda r: r.cell)
-    crown = Crown(np.array([r.cell for r in rows], np.int64), *(np.array([r[c] for r in rows]) for c in ("zeros", "ones", "weighted")))
+    sums = cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).toArrow()  # 16.7 million rows at most
+    cell, *rest = (sums.column(i).to_numpy() for i in range(4))
+    order = np.argsort(cell)
+    sent = strings.sparkSession.sparkContext.broadcast(Crown(cell[order], *(v[order] for v in rest)))
 
     def predict(batches):
         for codes, counts in branches(batches):
-            yield pa.RecordBatch.from_pydict({"code": pa.array(codes.astype(np.int64)), "lp": pa.array(Branch(codes, counts).log10(crown))})
+            yield pa.RecordBatch.from_pydict({"code": pa.array(codes.astype(np.int64)), "lp": pa.array(Branch(codes, counts).log10(sent.value))})
 
     return dealt.mapInArrow(predict, "code long, lp double")
 
