@@ -42,7 +42,7 @@ END = b"\xff"
 MODULUS, HELD_OUT = 7, 2
 #: how many strings, and tokens, are broadcast at most
 HOT_STRINGS, HOT_TOKENS = 1 << 21, 300_000
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 HALF = math.log(0.5)
 
@@ -354,12 +354,12 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     n_all, vocabulary = n_words + n_docs, n_distinct + (n_docs > 0)
 
     hot = strings.where(F.col("every") >= most_frequent(strings, "every", hot_strings)).join(model, "code").select("code", "lp").toArrow()
-    sent_strings = spark.sparkContext.broadcast((hot.column(0).to_numpy().astype(np.uint64), hot.column(1).to_numpy().astype(np.float64)))
+    sent_strings = spark.sparkContext.broadcast(Table(hot.column(0).to_numpy().astype(np.uint64), hot.column(1).to_numpy()))
     hot = tokens.where(F.col("c") >= most_frequent(tokens, "c", hot_tokens)).toArrow()
     sent_tokens = spark.sparkContext.broadcast(({w.encode(): n for w, n in zip(hot.column(0).to_pylist(), hot.column(1).to_pylist(), strict=True)}))
 
     def run(batches):
-        known, get = Table(*sent_strings.value), sent_tokens.value.get
+        known, get = sent_strings.value, sent_tokens.value.get
         for batch in batches:
             texts = texts_of(batch, "text")
             n = len(texts)
