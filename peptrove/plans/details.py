@@ -206,10 +206,10 @@ def my_data(r: Roles) -> DataFrame:
     return mine.join(done, "search_id", "left").select("search_id", "status", F.coalesce("data_status", F.lit("received")).alias("data_status"))
 
 
-@query("first_organism", "SELECT search_id, min(organism) AS organism FROM prec JOIN runs USING (run) WHERE search_id < 3000 GROUP BY search_id")
+@query("first_organism", "SELECT search_id, min(organism) AS organism FROM prec JOIN runs USING (run) WHERE search_id < 3000 GROUP BY search_id", whole=True)
 def first_organism(r: Roles) -> DataFrame:
     """The deterministic form of a correlated LIMIT 1."""
-    rows = r.prec.where("search_id < 3000").select("search_id", "run").join(small(r.runs.select("run", "organism")), "run")
+    rows = r.only(r.prec, "search_id < 3000").select("search_id", "run").join(small(r.runs.select("run", "organism")), "run")
     return J.first_of(rows, "search_id", "organism", "organism")
 
 
@@ -217,20 +217,21 @@ def first_organism(r: Roles) -> DataFrame:
     "name_link_tiebreak",
     """WITH c AS (SELECT DISTINCT a.run AS run, b.lab AS lab, a.n = b.n AS same FROM (SELECT run, count(*) AS n, right(CAST(run + 100 AS VARCHAR), 2) AS k FROM prec GROUP BY run) a JOIN (SELECT lab, count(*) AS n, right(CAST(lab + 100 AS VARCHAR), 2) AS k FROM searches WHERE lab < 130 GROUP BY lab) b USING (k))
        SELECT run, CASE WHEN count(*) = 1 THEN min(lab) WHEN count(*) FILTER (WHERE same) = 1 THEN min(lab) FILTER (WHERE same) END AS lab, count(*) AS n_candidates FROM c GROUP BY run""",
+    whole=True,
 )
 def name_link_tiebreak(r: Roles) -> DataFrame:
     """Linked if unique, or if one candidate has the same count; else left open."""
     a = r.prec.groupBy("run").agg(F.count("*").alias("n_rows"))
-    b = r.searches.where("lab < 130").groupBy("lab").agg(F.count("*").alias("n_found"))
+    b = r.only(r.searches, "lab < 130").groupBy("lab").agg(F.count("*").alias("n_found"))
     key = lambda c: F.right((F.col(c) + 100).cast("string"), F.lit(2))
     linked = J.link_by_keys(a, b, [key("run")], [key("lab")], "run", "lab", "n_rows", "n_found")
     return linked.where("n_candidates > 0")
 
 
-@query("sample_name_match", "SELECT lab, min(n) AS name FROM labs, (SELECT DISTINCT substr(s_name, 14) AS n FROM supplier WHERE s_suppkey < 20) WHERE contains(lower(lab_name), lower(n)) AND n <> '' GROUP BY lab")
+@query("sample_name_match", "SELECT lab, min(n) AS name FROM labs, (SELECT DISTINCT substr(s_name, 14) AS n FROM supplier WHERE s_suppkey < 20) WHERE contains(lower(lab_name), lower(n)) AND n <> '' GROUP BY lab", whole=True)
 def sample_name_match(r: Roles) -> DataFrame:
     """A small list of names against texts."""
-    names = r.table("supplier").where("s_suppkey < 20").select(F.substring("s_name", 14, 100).alias("name")).distinct()
+    names = r.only(r.table("supplier"), "s_suppkey < 20").select(F.substring("s_name", 14, 100).alias("name")).distinct()
     return J.contained_name(r.labs.select("lab", "lab_name"), names, "lab_name", "name").where("name is not null").select("lab", "name")
 
 
@@ -254,16 +255,16 @@ def export_report_proteotypic(r: Roles) -> DataFrame:
     return rows.join(unique, "name").select(F.concat("name", F.col("charge").cast("string")).alias("precursor_id"), "run", "grp", F.round(F.coalesce(F.when(~F.col("decoy"), F.col("intensity")), F.col("rt")), 2).alias("quantity"), "proteotypic")
 
 
-@query("report_rows", "SELECT search_id, run, charge, round(intensity, 2) AS intensity, coalesce(CAST(im AS VARCHAR), 'none') IS NOT NULL AS kept FROM prec WHERE search_id < 50 AND intensity IS NOT NULL")
+@query("report_rows", "SELECT search_id, run, charge, round(intensity, 2) AS intensity, coalesce(CAST(im AS VARCHAR), 'none') IS NOT NULL AS kept FROM prec WHERE search_id < 50 AND intensity IS NOT NULL", whole=True)
 def report_rows(r: Roles) -> DataFrame:
     """Exported rows have a value."""
-    return r.prec.where("search_id < 50").where(F.col("intensity").isNotNull()).select("search_id", "run", "charge", F.round("intensity", 2).alias("intensity"), F.lit(True).alias("kept"))
+    return r.only(r.prec, "search_id < 50").where(F.col("intensity").isNotNull()).select("search_id", "run", "charge", F.round("intensity", 2).alias("intensity"), F.lit(True).alias("kept"))
 
 
-@query("run_design", "SELECT DISTINCT run, CASE WHEN charge <= 3 THEN 'low' ELSE 'high' END AS condition, charge % 2 AS replicate FROM prec WHERE run < 30")
+@query("run_design", "SELECT DISTINCT run, CASE WHEN charge <= 3 THEN 'low' ELSE 'high' END AS condition, charge % 2 AS replicate FROM prec WHERE run < 30", whole=True)
 def run_design(r: Roles) -> DataFrame:
     """A15."""
-    return r.prec.where("run < 30").select("run", F.when(F.col("charge") <= 3, "low").otherwise("high").alias("condition"), (F.col("charge") % 2).alias("replicate")).distinct()
+    return r.only(r.prec, "run < 30").select("run", F.when(F.col("charge") <= 3, "low").otherwise("high").alias("condition"), (F.col("charge") % 2).alias("replicate")).distinct()
 
 
 @query("organism_filters", "SELECT run, CASE WHEN run % 7 = 0 THEN NULL WHEN run % 7 = 1 THEN organism ELSE organism END AS organism, run % 7 <> 0 AS is_real FROM runs")
@@ -273,10 +274,10 @@ def organism_filters(r: Roles) -> DataFrame:
     return raw.select("run", clean.canonical_organism(F.col("raw")).alias("organism"), clean.real_organism(F.col("raw")).alias("is_real"))
 
 
-@query("clean_values", "SELECT search_id, run, CASE WHEN im > 0.03 AND im < 0.07 THEN im END AS im, CASE WHEN rt > 5 AND rt < 40 THEN rt END AS irt, coalesce(q <= 0.01, false) AS passes FROM prec WHERE search_id < 500")
+@query("clean_values", "SELECT search_id, run, CASE WHEN im > 0.03 AND im < 0.07 THEN im END AS im, CASE WHEN rt > 5 AND rt < 40 THEN rt END AS irt, coalesce(q <= 0.01, false) AS passes FROM prec WHERE search_id < 500", whole=True)
 def clean_values(r: Roles) -> DataFrame:
     """C1, C4, C5."""
-    return r.prec.where("search_id < 500").select("search_id", "run", clean.mobility(F.col("im"), 0.03, 0.07).alias("im"), clean.indexed_time(F.col("rt"), 5, 40).alias("irt"), clean.passes_q(F.col("q")).alias("passes"))
+    return r.only(r.prec, "search_id < 500").select("search_id", "run", clean.mobility(F.col("im"), 0.03, 0.07).alias("im"), clean.indexed_time(F.col("rt"), 5, 40).alias("irt"), clean.passes_q(F.col("q")).alias("passes"))
 
 
 @query("contaminant_share", "SELECT grp, count(*) AS n, count(*) FILTER (WHERE contaminant) AS n_contaminant, round(100.0 * count(*) FILTER (WHERE contaminant) / count(*), 1) AS percent FROM prec JOIN pep USING (peptide) GROUP BY grp")

@@ -242,10 +242,11 @@ def proteins_vs_groups(r: Roles) -> DataFrame:
     "search_runs_coalesce",
     """SELECT s.search_id, s.run, coalesce(CASE WHEN s.search_id % 2 = 0 THEN NULL ELSE s.n END, c.n_computed) AS n_proteins, runs.organism FROM (SELECT search_id, run, count(*) AS n FROM prec GROUP BY 1, 2) s
        JOIN (SELECT search_id, run, count(DISTINCT peptide) AS n_computed FROM prec GROUP BY 1, 2) c USING (search_id, run) LEFT JOIN runs USING (run) WHERE s.search_id < 2000""",
+    whole=True,
 )
 def search_runs_coalesce(r: Roles) -> DataFrame:
     """The stored count, else the computed one, which is aggregated before it is joined."""
-    p = r.prec.where("search_id < 2000")
+    p = r.only(r.prec, "search_id < 2000")
     stored = p.groupBy("search_id", "run").agg(F.count("*").alias("n")).withColumn("stored", F.when(F.col("search_id") % 2 != 0, F.col("n")))
     computed = p.groupBy("search_id", "run").agg(F.count_distinct("peptide").alias("n_computed"))
     return stored.join(computed, ["search_id", "run"], "left").join(small(r.runs.select("run", "organism")), "run", "left").select("search_id", "run", F.coalesce("stored", "n_computed").alias("n_proteins"), "organism")

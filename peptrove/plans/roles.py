@@ -33,13 +33,18 @@ def sql(body: str) -> str:
     return f"WITH {head} {body}" if own else body
 
 
-def query(name: str, oracle: str | None = None):
-    """Registers a plan under a name, with its DuckDB SQL over the roles."""
+def query(name: str, oracle: str | None = None, whole: bool = False):
+    """Registers a plan under a name, with its DuckDB SQL over the roles.
+
+    The SQL of some takes a subset of the rows; ``whole`` registers their plan over all rows too, without SQL.
+    """
 
     def register(f: Callable[[Roles], DataFrame]) -> Callable[[Roles], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: f(Roles(spark, sf_dir))
         if oracle:
             ORACLE_SQL[name] = sql(oracle)
+        if whole:
+            QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(Roles(spark, sf_dir, whole=True))
         return f
 
     return register
@@ -48,8 +53,12 @@ def query(name: str, oracle: str | None = None):
 class Roles:
     """Lazy frames of one directory; columns and filters are pushed into the scans by Spark."""
 
-    def __init__(self, spark: SparkSession, directory: str):
-        self.spark, self.directory = spark, directory
+    def __init__(self, spark: SparkSession, directory: str, whole: bool = False):
+        self.spark, self.directory, self.whole = spark, directory, whole
+
+    def only(self, df: DataFrame, condition: str) -> DataFrame:
+        """The rows that the plan's SQL takes; all rows if the whole job is asked for."""
+        return df if self.whole else df.where(condition)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")

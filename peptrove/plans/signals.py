@@ -40,11 +40,12 @@ def word_hunt(r: Roles) -> DataFrame:
         i AS (SELECT doc_id, k + length(pep) - 1 AS e, k AS b FROM (SELECT doc_id, replace(seq, 'I', 'L') AS seq, replace(pep, 'I', 'L') AS pep, unnest(range(1, 121)) AS k FROM s, p) WHERE substr(seq, k, length(pep)) = pep),
         c AS (SELECT doc_id, count(DISTINCT x) AS covered FROM (SELECT doc_id, unnest(range(b, e + 1)) AS x FROM i) GROUP BY doc_id)
         SELECT doc_id, length(seq) AS length, coalesce(covered, 0) AS covered, round(100.0 * coalesce(covered, 0) / length(seq), 2) AS percent FROM s LEFT JOIN c USING (doc_id) WHERE seq <> ''""",
+    whole=True,
 )
 def coverage_pct(r: Roles) -> DataFrame:
     """I and L count as one."""
     parts = r.spark.createDataFrame([(p,) for p in ("THE", "ION", "AND", "ER", "THTH")], "pep string")
-    rows = sequences(r, 120).where("doc_id < 100").join(F.broadcast(parts))  # five rows
+    rows = r.only(sequences(r, 120), "doc_id < 100").join(F.broadcast(parts))  # five rows
     out = R.coverage(rows, ["doc_id"], "seq", "pep")
     return out.select("doc_id", F.col("length").cast("long").alias("length"), "covered", "percent")
 
@@ -58,10 +59,11 @@ RESIDUES_SQL = "CASE c " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k
         b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, m, count(*) OVER (PARTITION BY doc_id) AS n FROM a),
         t AS (SELECT doc_id, 'b' AS type, i, sum(m) OVER (PARTITION BY doc_id ORDER BY i) AS m, n FROM b UNION ALL SELECT doc_id, 'y', n - i + 1, sum(m) OVER (PARTITION BY doc_id ORDER BY i DESC) + CAST(18.0105646 AS DOUBLE), n FROM b)
         SELECT doc_id, type || CAST(i AS VARCHAR) AS ion, z AS charge, round(round((m + z * CAST(1.0072765 AS DOUBLE)) / z, 5), 3) AS mz FROM t, (SELECT unnest([1, 2]) AS z) WHERE i < n""",
+    whole=True,
 )
 def b_y_ions(r: Roles) -> DataFrame:
     """A generator of ions for each sequence."""
-    rows = sequences(r, 12).where("doc_id < 200").select("doc_id", F.inline(chem.ladder(F.col("seq"))))
+    rows = r.only(sequences(r, 12), "doc_id < 200").select("doc_id", F.inline(chem.ladder(F.col("seq"))))
     return rows.select("doc_id", "ion", "charge", F.round("mz", 3).alias("mz"))
 
 
@@ -82,10 +84,10 @@ def sequence_shapes(r: Roles) -> DataFrame:
     return sequences(r, 6).select("doc_id", text.is_palindrome(F.col("seq")).alias("palindrome"), text.has_few_letters(F.col("seq")).alias("few_letters"))
 
 
-@query("fold_unfold_lists", "SELECT user_id, event_id, event_type, round(value, 2) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events WHERE user_id < 15")
+@query("fold_unfold_lists", "SELECT user_id, event_id, event_type, round(value, 2) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events WHERE user_id < 15", whole=True)
 def fold_unfold_lists(r: Roles) -> DataFrame:
     """Arrays keep their common order there and back."""
-    folded = R.fold(r.table("events").where("user_id < 15"), ["user_id"], "event_id", "event_type", "value")
+    folded = R.fold(r.only(r.table("events"), "user_id < 15"), ["user_id"], "event_id", "event_type", "value")
     return R.unfold(folded, "event_id", "event_type", "value").select("user_id", "event_id", "event_type", F.round("value", 2).alias("value"), F.col("pos").cast("long").alias("pos"))
 
 
@@ -104,10 +106,10 @@ def strongest_points(r: Roles) -> DataFrame:
     return zipped.select("user_id", F.inline("p")).withColumnRenamed("intensity", "value")
 
 
-@query("relative_intensity", "SELECT user_id, event_id, round(value / max(value) OVER (PARTITION BY user_id), 6) AS rel FROM events WHERE user_id BETWEEN 20 AND 40")
+@query("relative_intensity", "SELECT user_id, event_id, round(value / max(value) OVER (PARTITION BY user_id), 6) AS rel FROM events WHERE user_id BETWEEN 20 AND 40", whole=True)
 def relative_intensity(r: Roles) -> DataFrame:
     """J16."""
-    folded = R.fold(r.table("events").where(F.col("user_id").between(20, 40)), ["user_id"], "event_id", "value")
+    folded = R.fold(r.only(r.table("events"), "user_id between 20 and 40"), ["user_id"], "event_id", "value")
     return R.unfold(folded.select("user_id", "event_id", R.relative(F.col("value")).alias("rel")), "event_id", "rel").select("user_id", "event_id", "rel")
 
 
@@ -118,11 +120,11 @@ def trace_area(r: Roles) -> DataFrame:
     return folded.select("user_id", F.round(R.area(F.col("event_id").cast("array<double>"), F.col("value")), 4).alias("area"))
 
 
-@query("spectrum_correlation", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_aggregate(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)), 'sum'), 4) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 7 = 0")
+@query("spectrum_correlation", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_aggregate(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)), 'sum'), 4) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 7 = 0", whole=True)
 def spectrum_correlation(r: Roles) -> DataFrame:
     """Products of aligned list columns in the JVM."""
     e = r.table("embeddings").select(F.col("vec_id").alias("a"), F.col("embedding").cast("array<double>").alias("x"))
-    met = e.where("a % 7 = 0").join(e.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y")), "a")
+    met = r.only(e, "a % 7 = 0").join(e.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y")), "a")
     return met.select("a", "b", F.round(F.aggregate(F.zip_with("x", "y", lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v), 4).alias("dot"))
 
 
