@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,21 +19,30 @@ SEQ = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
 
 
 def sequences(r: Roles, length: int = 30) -> DataFrame:
-    """Letters of documents as stand-ins for sequences."""
+    """Stand-ins for sequences: the first letters of documents as in the SQL, or, for the whole job, every letter run of the texts."""
     d = r.table("documents")
+    if r.whole:
+        return d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("pos", "seq")).withColumn("seq", F.upper("seq"))
     return d.select("doc_id", F.upper(F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, length)).alias("seq")).where("seq <> ''")
 
 
+def each_sequence(rows: DataFrame, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a plan gives for each different sequence, for all rows that have it."""
+    return rows.join(plan(rows.select("seq").distinct()), "seq").drop("seq")
+
+
 @query(
     "word_hunt",
     f"""WITH s AS (SELECT doc_id, substr({SEQ}, 1, 30) AS seq FROM documents), w AS (SELECT DISTINCT upper(part) AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS part FROM part) WHERE length(part) BETWEEN 3 AND 6)
         SELECT word, count(*) AS n_peptides, min(seq) AS example FROM s JOIN w ON contains(s.seq, w.word) GROUP BY word""",
+    whole=True,
 )
 def word_hunt(r: Roles) -> DataFrame:
     """Substrings meet the dictionary in a join, once a sequence."""
     words = r.table("part").select(F.explode(F.split(F.upper("p_name"), " ")).alias("word")).where(F.length("word").between(3, 6)).distinct()
-    hits = R.word_hits(sequences(r), "doc_id", "seq", small(words), "word", 3, 6)
-    return hits.groupBy("word").agg(F.count("*").alias("n_peptides"), F.min("seq").alias("example"))
+    different = sequences(r).groupBy("seq").agg(F.count("*").alias("n"))
+    hits = R.word_hits(different, "n", "seq", small(words), "word", 3, 6)
+    return hits.groupBy("word").agg(F.sum("n").alias("n_peptides"), F.min("seq").alias("example"))
 
 
 @query(
@@ -45,9 +56,8 @@ def word_hunt(r: Roles) -> DataFrame:
 def coverage_pct(r: Roles) -> DataFrame:
     """I and L count as one."""
     parts = r.spark.createDataFrame([(p,) for p in ("THE", "ION", "AND", "ER", "THTH")], "pep string")
-    rows = r.only(sequences(r, 120), "doc_id < 100").join(F.broadcast(parts))  # five rows
-    out = R.coverage(rows, ["doc_id"], "seq", "pep")
-    return out.select("doc_id", F.col("length").cast("long").alias("length"), "covered", "percent")
+    covered = lambda s: R.coverage(s.join(F.broadcast(parts)), ["seq"], "seq", "pep")  # noqa: E731  five rows
+    return each_sequence(r.only(sequences(r, 120), "doc_id < 100"), covered).withColumn("length", F.col("length").cast("long")).drop("n_placed")
 
 
 RESIDUES_SQL = "CASE c " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in chem.RESIDUES.items()) + " END"
@@ -63,25 +73,28 @@ RESIDUES_SQL = "CASE c " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k
 )
 def b_y_ions(r: Roles) -> DataFrame:
     """A generator of ions for each sequence."""
-    rows = r.only(sequences(r, 12), "doc_id < 200").select("doc_id", F.inline(chem.ladder(F.col("seq"))))
-    return rows.select("doc_id", "ion", "charge", F.round("mz", 3).alias("mz"))
+    ions = lambda s: s.select("seq", F.inline(chem.ladder(F.col("seq"))))
+    return each_sequence(r.only(sequences(r, 12), "doc_id < 200"), ions).withColumn("mz", F.round("mz", 3)).drop("type", "series")
 
 
 @query(
     "physchem",
     f"""WITH s AS (SELECT doc_id, substr({SEQ}, 1, 20) AS seq FROM documents), a AS (SELECT doc_id, seq, {RESIDUES_SQL} AS m FROM (SELECT doc_id, seq, substr(seq, i, 1) AS c FROM (SELECT doc_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM s)))
         SELECT doc_id, count(m) AS length, round(sum(m) + CAST(18.010565 AS DOUBLE), 4) AS mass, right(min(seq), 1) IN ('K', 'R') AS tryptic, length(min(seq)) - length(replace(min(seq), 'W', '')) AS n_w FROM a GROUP BY doc_id HAVING count(m) > 0""",
+    whole=True,
 )
 def physchem(r: Roles) -> DataFrame:
     """D1."""
-    rows = sequences(r, 20).select("doc_id", chem.physchem(F.col("seq")).alias("p")).where("p is not null")
-    return rows.select("doc_id", F.col("p.length").cast("long").alias("length"), F.col("p.monoisotopic_mass").alias("mass"), "p.tryptic", F.col("p.counts.W").cast("long").alias("n_w"))
+    found = lambda s: s.select("seq", chem.physchem(F.col("seq")).alias("p")).where("p is not null")
+    rows = each_sequence(sequences(r, 20), found)
+    return rows.select(*rows.drop("p").columns, F.col("p.length").cast("long").alias("length"), F.col("p.monoisotopic_mass").alias("mass"), "p.tryptic", F.col("p.counts.W").cast("long").alias("n_w"))
 
 
-@query("sequence_shapes", f"WITH s AS (SELECT doc_id, substr({SEQ}, 1, 6) AS seq FROM documents) SELECT doc_id, seq = reverse(seq) AND length(seq) >= 4 AS palindrome, len(list_distinct(string_split(seq, ''))) <= 4 AND length(seq) >= 6 AS few_letters FROM s WHERE seq <> ''")
+@query("sequence_shapes", f"WITH s AS (SELECT doc_id, substr({SEQ}, 1, 6) AS seq FROM documents) SELECT doc_id, seq = reverse(seq) AND length(seq) >= 4 AS palindrome, len(list_distinct(string_split(seq, ''))) <= 4 AND length(seq) >= 6 AS few_letters FROM s WHERE seq <> ''", whole=True)
 def sequence_shapes(r: Roles) -> DataFrame:
     """SF13."""
-    return sequences(r, 6).select("doc_id", text.is_palindrome(F.col("seq")).alias("palindrome"), text.has_few_letters(F.col("seq")).alias("few_letters"))
+    rows = sequences(r, 6)
+    return rows.select(*rows.drop("seq").columns, text.is_palindrome(F.col("seq")).alias("palindrome"), text.has_few_letters(F.col("seq")).alias("few_letters"))
 
 
 @query("fold_unfold_lists", "SELECT user_id, event_id, event_type, round(value, 2) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events WHERE user_id < 15", whole=True)
