@@ -5,9 +5,10 @@ interlaced.  Corners are local maxima of the Harris response at several
 scales; each gets the direction of its patch's intensity centroid and 128
 brightness tests turned into that direction.  Each of eight Hamming tables keys a
 descriptor by 40 of its bits, so descriptors that differ elsewhere only meet in
-a join.  In a bucket, which may hold a third of all rows, every member meets
-its first and last member only, so the join stays linear; copies share many
-buckets.  Images that meet in two corners or more are compared by all their
+a join.  A bucket may hold a third of all rows, mostly copies: first every
+member meets its first and last member only, which connects them; then all
+members that are still in different classes meet each other, in blocks of
+bounded size, so no pair that shares a bucket is left out.  Images that meet in two corners or more are compared by all their
 descriptors, and kept as a pair if one similarity transform (from the corners'
 places, scales and directions) explains enough of the nearest matches.  Classes
 are the components of the pairs that are kept.
@@ -28,7 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import materialize, steady, table, with_row_id
@@ -40,6 +41,8 @@ RADIUS, MARGIN = 14, 15
 BITS = 128
 #: Hamming tables and the bits each takes; corners that two images must meet in
 TABLES, TABLE_BITS, MEET = 8, 40, 2
+#: members of a bucket in a chunk
+CHUNK = 512
 TURNS = 32
 #: bits that matching descriptors may differ in; pixels a match may be off; matches that agree
 FAR, OFF, AGREE = 28, 4.0, 6
@@ -273,15 +276,40 @@ def consensus(pairs: DataFrame, points: DataFrame, far: int, least: int) -> Data
     return pairs.join(one, "a").join(two, "b").select("a", "b", "at_a", "bits_a", "at_b", "bits_b").mapInArrow(run, "a long, b long")
 
 
+def corner_keys(points: DataFrame) -> DataFrame:
+    """(c, key): a number of each corner, and its keys. The tables hold numbers only."""
+    return points.select("node", F.posexplode("keys").alias("i", "key")).select(((F.col("node") * 64) + F.floor(F.col("i") / TABLES)).alias("c"), "key")
+
+
+def node_of(corner) -> Column:
+    return F.shiftright(corner, 6)
+
+
+def often(met: DataFrame) -> DataFrame:
+    """Images (a, b) that meet in MEET corners or more, from rows (c, o) of corners that share a key."""
+    met = met.select(F.least("c", "o").alias("c"), F.greatest("c", "o").alias("o")).distinct().withColumn("a", node_of("c")).withColumn("b", node_of("o"))
+    counts = met.groupBy("a", "b").agg(F.count_distinct("c").alias("n"), F.count_distinct("o").alias("m"))
+    return counts.where((F.col("n") >= MEET) & (F.col("m") >= MEET)).select("a", "b")
+
+
 def meetings(points: DataFrame) -> DataFrame:
-    """Images (a, b) that share a table's key in MEET corners or more. The tables hold numbers only."""
-    parts = points.select("node", F.posexplode("keys").alias("i", "key")).select(((F.col("node") * 64) + F.floor(F.col("i") / TABLES)).alias("c"), "key")
-    node = lambda c: F.shiftright(c, 6)
-    buckets = parts.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(node("low") != node("high"))
-    met = parts.join(buckets, "key").select("c", F.explode(F.array("low", "high")).alias("o")).where(node("c") != node("o"))
-    met = met.select(F.least("c", "o").alias("c"), F.greatest("c", "o").alias("o")).distinct().withColumn("a", node("c")).withColumn("b", node("o"))
-    often = met.groupBy("a", "b").agg(F.count_distinct("c").alias("n"), F.count_distinct("o").alias("m"))
-    return often.where((F.col("n") >= MEET) & (F.col("m") >= MEET)).select("a", "b")
+    """Images (a, b) that share enough keys, of those that are the first or last of a bucket with any other."""
+    parts = corner_keys(points)
+    buckets = parts.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(node_of("low") != node_of("high"))
+    met = parts.join(buckets, "key").select("c", F.explode(F.array("low", "high")).alias("o")).where(node_of("c") != node_of("o"))
+    return often(met)
+
+
+def meetings_between(points: DataFrame, roots: DataFrame) -> DataFrame:
+    """Images (a, b) of different classes (rows node, root) that share enough keys: every two of a bucket, in blocks of two chunks."""
+    parts = corner_keys(points).join(roots.select(F.col("node").alias("__n"), "root"), node_of("c") == F.col("__n")).select("c", "key", "root")
+    mixed = parts.groupBy("key").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    dealt = parts.join(mixed.select("key", "chunks"), "key").withColumn("own", F.pmod(F.xxhash64("c"), "chunks").cast("int"))
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    one = dealt.select("key", "c", "root", F.col("own").alias("i"), F.explode(F.filter(every, lambda k: k >= F.col("own"))).alias("j"))
+    two = dealt.select("key", F.col("c").alias("o"), F.col("root").alias("other"), F.col("own").alias("j"), F.explode(F.filter(every, lambda k: k <= F.col("own"))).alias("i"))
+    met = one.join(two, ["key", "i", "j"]).where((F.col("root") != F.col("other")) & ((F.col("i") < F.col("j")) | (F.col("c") < F.col("o"))))
+    return often(met.select("c", "o"))
 
 
 def classes(images: DataFrame, id_col: str, image_col: str = "image", far: int = FAR, least: int = AGREE) -> DataFrame:
@@ -292,8 +320,11 @@ def classes(images: DataFrame, id_col: str, image_col: str = "image", far: int =
     nodes = materialize(sums.groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.count("*").alias("n_same"), F.min("id").alias("least_id")), "image-nodes")
     own = rows.select(F.col("rid").alias("node"), "image").join(nodes.select("node"), "node", "left_semi").where(F.col("image").isNotNull())
     points = materialize(descriptors(own), "corners")
-    links = consensus(meetings(points), points, far, least)
+    links = materialize(consensus(meetings(points), points, far, least), "image-links")
     stars = components(links)
+    roots = points.select("node").join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = materialize(roots, "image-roots")
+    stars = components(links.unionByName(consensus(meetings_between(points, roots), points, far, least)))
     info = nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     info = materialize(info, "image-classes")
     whole = info.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("n_same").alias("n_class"))
