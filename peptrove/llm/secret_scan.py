@@ -33,11 +33,15 @@ from pyspark.sql import functions as F
 
 from ._common import extended, table, texts_of
 
-LONGEST = 4096
-ASSIGNED = rb"""(?:=>|:=|[=:])[ \t]{0,4}["'`]?([^\s"'`<>,;(){}\[\]]{6,512})"""
-RUN = rb"[A-Za-z0-9+/_\-]{20,4096}={0,2}"
-BLOCK = rb"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,4096}(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
-CANDIDATE = re.compile(BLOCK + b"|" + ASSIGNED + b"|" + RUN)
+ASSIGNED = rb"""(?:=>|:=|[=:])[ \t]{0,4}["'`]?([^\s"'`<>,;(){}\[\]]{6,})"""
+RUN = rb"[A-Za-z0-9+/_\-]{20,}={0,2}"
+CANDIDATE = re.compile(ASSIGNED + b"|" + RUN)
+#: a private key to its END mark, or as far as lines of key characters go; line breaks may be escaped, headers may precede the key
+BLOCK = re.compile(
+    rb"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----)[A-Za-z0-9+/=\s\\:,.()\"'-])*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\+[nrt])*[A-Za-z0-9+/]{16,}={0,2})*+(?:(?:\s|\\+[nrt])+[A-Za-z0-9+/]{1,15}(?:={1,2}|(?=\s*\Z)))?)"
+)
+#: a value given to a name inside another value, as in the query of an address or in its user part
+INNER = re.compile(rb"[?&;|]?[A-Za-z_][A-Za-z0-9_.\-]{0,63}=([^=&?#|][^&?#|]{5,})|://[^/?#@:]*:([^/?#@]{6,})@")
 #: what precedes a value that is meant to be kept secret, or a value that only looks like one
 SECRET_WORDS = "password passwd pwd passphrase secret token apikey api access private credential credentials auth authorization bearer key client signing encryption"
 PLAIN_WORDS = "sha sha1 sha256 md5 hash digest checksum commit revision rev uuid guid id etag color colour version build integrity fingerprint session request trace order invoice isbn href src url http https link path file image img data title name tel phone"
@@ -62,19 +66,46 @@ VOWELS = set("aeiouy")
 
 
 def candidates(text: bytes) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in bytes, in order and apart."""
+    """(start, end, kind) in bytes, in order and apart. Blocks go first; the other candidates are sought between them."""
+    out, at = [], 0
+    for m in BLOCK.finditer(text):
+        out += values(text, at, m.start())
+        at = m.end()
+        out.append((m.start(), at, "block"))
+    return out + values(text, at, len(text))
+
+
+def values(text: bytes, lo: int, hi: int) -> list[tuple[int, int, str]]:
+    """Assigned values and runs of a part of the text. A value that holds others, such as an address, is given as those."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        if m[1] is not None:
-            start, end, kind = m.start(1), m.end(1), "assigned"
+    for m in CANDIDATE.finditer(text, lo, hi):
+        if m[1] is None:
+            found = [(m.start(), m.end(), "run")]
+        else:
+            start, end = m.span(1)
             while end > start and text[end - 1] in b".!?#$%&*" and end - start > 6:
                 end -= 1
-        else:
-            start, end, kind = m.start(), m.end(), "block" if text.startswith(b"-----", m.start()) else "run"
-        value = text[start:end]
-        if kind == "run" and not (any(48 <= c <= 57 for c in value) and any(c >= 65 for c in value)):
-            continue  # words and numbers, not keys
-        out.append((start, end, kind))
+            found = inside(text, start, end) or [(start, end, "assigned")]
+        for start, end, kind in found:
+            value = text[start:end]
+            if kind == "run" and not (any(48 <= c <= 57 for c in value) and any(c >= 65 for c in value)):
+                continue  # words and numbers, not keys
+            out.append((start, end, kind))
+    return out
+
+
+def inside(text: bytes, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Candidates inside an assigned address or list of assignments: named values, and runs beside them."""
+    if not (b"://" in text[start:end] or text.startswith(b"//", start) or b"&" in text[start:end] or b"?" in text[start:end]):
+        return []
+    named = [(*m.span(m.lastindex), "assigned") for m in INNER.finditer(text, start, end)]
+    if not named:
+        return []
+    out, at = [], start
+    for s, e, kind in [*named, (end, end, "")]:
+        out += [(*m.span(), "run") for m in re.compile(RUN).finditer(text, at, s)]
+        out += [(s, e, kind)] * (e > s)
+        at = e
     return out
 
 
