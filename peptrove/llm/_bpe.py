@@ -184,6 +184,7 @@ class Bpe:
         self.places = np.empty(0, np.int64)
         self.counts = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
+        self.cache.clear()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of whole UTF-8 texts."""

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN_DIR: dict[str, str] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-process tests) a temporary folder is made.
+    Only in a local session that has none (tests) a temporary folder is made.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="peptrove-")
@@ -40,11 +46,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage with replicated-storage semantics: a lost executor
     costs only the tasks it was running, and row keys made by
-    ``monotonically_increasing_id`` become fixed data.
+    ``monotonically_increasing_id`` become fixed data.  The shuffle files of the
+    write go when it ends, not when the driver next collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/peptrove/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,6 +91,38 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [b"" if x is None else x for x in col.to_pylist()]
 
 
+def slices(batches: Iterable[pa.RecordBatch], name: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in parts of about ``most`` bytes of a text column, one row at least; nothing is copied."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(name))
+        wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+        ends = np.frombuffer(column.buffers()[1] or b"", np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        lo = 0
+        while lo < len(column):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system: workers live on, and so would their heaps."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function for mapInArrow that gives its memory back when its task ends."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def chunks(values: list[bytes], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges of about ``most`` bytes, one text at least."""
     lo, size = 0, 0

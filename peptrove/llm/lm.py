@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import crc32_of_id, materialize, table, texts_of, with_row_id
+from ._common import crc32_of_id, lean, materialize, slices, table, texts_of, with_row_id
 
 DEPTH, TOP = 5, 3
 END = b"\xff"
@@ -116,7 +116,7 @@ def count_strings(docs: DataFrame) -> DataFrame:
         if codes:
             yield from out()
 
-    found = docs.select("text", "held_out").mapInArrow(run, "code long, n long, every long")
+    found = docs.select("text", "held_out").mapInArrow(lean(run), "code long, n long, every long")
     return found.groupBy("code").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
@@ -140,7 +140,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                     yield from out()
         yield from out()
 
-    found = docs.where("held_out = 0").select("text").mapInArrow(run, "token string, c long")
+    found = docs.where("held_out = 0").select("text").mapInArrow(lean(run), "token string, c long")
     return found.groupBy("token").agg(F.sum("c").alias("c"))
 
 
@@ -279,7 +279,7 @@ def string_model(strings: DataFrame) -> DataFrame:
         for codes, counts in branches(batches):
             yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in Branch(codes, counts).totals().items()})
 
-    cells = dealt.mapInArrow(gather, "cell long, zeros double, ones double, weighted double")
+    cells = dealt.mapInArrow(lean(gather), "cell long, zeros double, ones double, weighted double")
     sums = cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "weighted"))).toArrow()  # 16.7 million rows at most
     cell, *rest = (sums.column(i).to_numpy() for i in range(4))
     order = np.argsort(cell)
@@ -289,7 +289,7 @@ def string_model(strings: DataFrame) -> DataFrame:
         for codes, counts in branches(batches):
             yield pa.RecordBatch.from_pydict({"code": pa.array(codes.astype(np.int64)), "lp": pa.array(Branch(codes, counts).log10(sent.value))})
 
-    return dealt.mapInArrow(predict, "code long, lp double")
+    return dealt.mapInArrow(lean(predict), "code long, lp double")
 
 
 def most_frequent(counts: DataFrame, by: str, most: int) -> int:
@@ -360,7 +360,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         known, get = sent_strings.value, sent_tokens.value.get
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts = texts_of(batch, "text")
             n = len(texts)
             score, sizes = np.zeros(n), np.zeros(n, np.int64)
@@ -388,7 +388,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
                 + [pa.array(sizes), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), pa.array(rare, pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(ends), pa.array(code[order].astype(np.int64)))],
                 names=["rid", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base", "score", "rare_tokens", "rare_codes"])
 
-    half = materialize(rows.select("rid", "doc_id", "held_out", "text").mapInArrow(run, "rid long, doc_id long, held_out int, n_bytes long, n_tokens long, n_known long, base double, score double, rare_tokens array<string>, rare_codes array<long>"), "half-scored")
+    half = materialize(rows.select("rid", "doc_id", "held_out", "text").mapInArrow(lean(run), "rid long, doc_id long, held_out int, n_bytes long, n_tokens long, n_known long, base double, score double, rare_tokens array<string>, rare_codes array<long>"), "half-scored")
     rare = half.select("rid", F.explode("rare_tokens").alias("token")).join(tokens, "token").groupBy("rid").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1)).alias("more_base"))
     deep = half.select("rid", F.explode("rare_codes").alias("code")).join(model, "code").groupBy("rid").agg(F.sum("lp").alias("more_score"))
     both = half.drop("rare_tokens", "rare_codes").join(rare, "rid", "left").join(deep, "rid", "left")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from ._bpe import Bpe
-from ._common import chunks, table, texts_of
+from ._common import lean, slices, table, texts_of
 
 LENGTH = 2048
 END = (1).to_bytes(4, "little")
@@ -165,16 +165,14 @@ def pack_partition(batches: Iterable[pa.RecordBatch], path: str, length: int, id
     def out(rows):
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 7, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    for batch in batches:
-        ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
-        texts = texts_of(batch, text_col)
-        for lo, hi in chunks(texts, 2 << 20):
-            rows = []
-            for doc_id, encoded in zip(ids[lo:hi], bpe.encode(texts[lo:hi]), strict=True):
-                rows += packer.add(doc_id, encoded + END)
-            if rows:
-                yield out(rows)
+    for batch in slices(batches, text_col):
+        ids, rows = batch.column(batch.schema.get_field_index(id_col)).to_pylist(), []
+        for doc_id, encoded in zip(ids, bpe.encode(texts_of(batch, text_col)), strict=True):
+            rows += packer.add(doc_id, encoded + END)
+        if rows:
+            yield out(rows)
     yield out(list(packer.finish()))
+    bpe.forget()
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,7 +182,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, id_col:
     def run(batches):
         return pack_partition(batches, path, length, id_col, text_col, TaskContext.get().partitionId())
 
-    return docs.select(docs[id_col].cast("long").alias(id_col), text_col).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias(id_col), text_col).mapInArrow(lean(run), SCHEMA)
 
 
 def op7_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
