@@ -2,12 +2,14 @@
 
 A word enters as its own vector (words of the training sample) next to the
 mean vector of its character pairs, so that unseen words have an input too.
-Windows of 32 words, each 24 words after the last, overlap over the whole
-text; in each a forward and a backward gated recurrent layer run, attention
+Windows of 32 words, each 16 words after the last, overlap over the whole
+text (a text that is read in parts has the same windows); in each a forward and a backward gated recurrent layer run, attention
 pools their states, and the text's score is that of its highest window.
 
-Training is numpy too, on at most ``sample`` labelled rows (an ordered hash
-picks them, so the sample is the same on every run): all windows of a text are
+Training is numpy too, on at most ``sample`` labelled rows of at most
+``sample_bytes`` (an ordered hash picks them, so the sample is the same on
+every run), with vectors for the ``VOCABULARY`` words that most of them hold
+and letter pairs for every word: all windows of a text are
 scored and the gradient of the logistic loss goes through its highest one.
 Rows with crc32(doc_id) mod 5 = 0 are held out.  Neither labels nor any column
 but the text enters a score.
@@ -15,20 +17,23 @@ but the text enters a score.
 Defined cases: null and empty texts and texts without words score the sample's
 share of toxic rows; labels of one kind only, or none, give that share (0.5 if
 none) to every text; repeated rows score alike; an empty table gives no rows;
-several labels of a document count as their largest.
+several labels of a document count as their largest; of several texts of a
+labelled id the least one is learnt from.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import as_one, chunks, crc32_of_id, extended, table, texts_of
-from ._words import hash_spans, pieces, spans_of
+from ._common import as_one, crc32_of_id, extended, give_back, lean, slices, table, texts_of
+from ._words import WORD_BYTES, hash_spans, spans_of
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 PAIRS = 4096
 VOCABULARY = 20_000
@@ -36,6 +41,8 @@ VOCABULARY = 20_000
 SAMPLE, SAMPLE_BYTES = 4000, 32_768
 EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 240, 64, 0.01
 HELD_OUT = 5
+#: bytes of text that are read at once
+PART = 1 << 19
 REST = np.float32(-30.0)  # update gate of a place without a word
 
 
@@ -68,18 +75,53 @@ class Lookup:
         return np.where(out >= len(self.keys) - 1, -1, out)
 
 
-def pair_numbers(raw: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+def pair_numbers(raw: np.ndarray) -> np.ndarray:
     """A number from 1 for each byte with the one before it, 0 for spaces."""
-    if before is None:
-        before = np.empty_like(raw)
-        before[:1], before[1:] = 0x20, raw[:-1]
+    before = np.empty_like(raw)
+    before[:1], before[1:] = 0x20, raw[:-1]
     n = 1 + (before.astype(np.int32) * 61 + raw) * 40503 % (PAIRS - 1)
     return np.where(raw == 0x20, 0, n)
 
 
-def read(texts: list[bytes]):
+def parts_of(text: bytes, most: int) -> Iterator[bytes]:
+    """A long normalised text in parts of about ``most`` bytes. Each but the last ends with a window,
+    and the next one begins with the window after it, so that no window lies across two parts."""
+    at = 0
+    while len(text) - at > most:
+        size, m = most, 0
+        while m < 1 and at + size < len(text):
+            end = text.find(b" ", at + size)
+            end = len(text) if end < 0 else end
+            starts, ends = spans_of(np.frombuffer(text, np.uint8)[at:end])
+            m, size = (len(starts) - (WINDOW - STRIDE)) // STRIDE, 2 * size
+        if m < 1 or end == len(text):
+            break
+        yield text[at : at + int(ends[m * STRIDE + WINDOW - STRIDE - 1])]
+        at += int(starts[m * STRIDE])
+    if not at or len(text[at:].split()) > WINDOW - STRIDE:  # else all its words have been in the last window
+        yield text[at:]
+
+
+def read(texts: list[bytes], most: int = PART):
     """For parts of the texts: first text, each word's text (relative), hash, start, end, and the bytes."""
-    for first, held in pieces(texts, most=1 << 19):
+
+    def held_together():
+        lo, held, size = 0, [], 0
+        for i, t in enumerate(texts):
+            n = t.translate(WORD_BYTES)
+            if size and size + len(n) > most:
+                yield lo, held
+                lo, held, size = i, [], 0
+            if len(n) > most:
+                yield from ((i, [part]) for part in parts_of(n, most))
+                lo = i + 1
+                continue
+            held.append(n)
+            size += len(n) + 1
+        if held:
+            yield lo, held
+
+    for first, held in held_together():
         raw = np.frombuffer(b" ".join(held), np.uint8)
         starts, ends = spans_of(raw)
         if len(starts):
@@ -175,9 +217,17 @@ class Network:
         g["x"], g["bias"] = x.T @ drows, drows.sum(0)
         return y, g, drows @ self.p["x"].T
 
-    def freeze(self, pairs: np.ndarray) -> None:
-        """Gate inputs of the known words, from their letter pairs (rows padded with 0)."""
-        letters = self.p["char"][pairs].sum(1) / np.maximum(1, (pairs > 0).sum(1))[:, None].astype(np.float32)
+    def letters(self, spelled: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean vectors of the letter pairs of words, and the pairs one after another."""
+        if not len(starts):
+            return np.zeros((0, CHAR_DIM), np.float32), np.zeros(0, np.int64)
+        first = np.cumsum(lengths) - lengths
+        own = spelled[np.arange(first[-1] + lengths[-1]) + np.repeat(starts - first, lengths)]
+        return np.add.reduceat(self.p["char"][own], first, axis=0) / lengths[:, None].astype(np.float32), own
+
+    def freeze(self, spelled: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Gate inputs of the known words, from their letter pairs."""
+        letters = self.letters(spelled, starts, lengths)[0]
         self.table = np.concatenate([self.p["word"][:-1], letters], 1) @ self.p["x"] + self.p["bias"]
 
     def unknown(self, starts: np.ndarray, ends: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -185,17 +235,14 @@ class Network:
         length = ends - starts
         if not len(length):
             return np.zeros((0, 6 * HIDDEN), np.float32)
-        first = np.cumsum(length) - length
-        at = np.arange(first[-1] + length[-1]) + np.repeat(starts - first, length)
-        before = np.where(at > 0, raw[at - 1], 0x20)
-        letters = np.add.reduceat(self.p["char"][pair_numbers(raw[at], before)], first, axis=0) / length[:, None].astype(np.float32)
+        letters = self.letters(pair_numbers(raw), starts, length)[0]
         return letters @ self.p["x"][WORD_DIM:] + (self.p["word"][-1] @ self.p["x"][:WORD_DIM] + self.p["bias"])
 
-    def scores(self, texts: list[bytes], lookup: Lookup) -> np.ndarray:
+    def scores(self, texts: list[bytes], lookup: Lookup, most: int = PART) -> np.ndarray:
         best = np.full(len(texts), -np.inf, np.float32)
         n = len(self.vocabulary)
         none = self.rows(np.zeros((0, WORD_DIM + CHAR_DIM), np.float32))
-        for first, docs, hashes, starts, ends, raw in read(texts):
+        for first, docs, hashes, starts, ends, raw in read(texts, most):
             at, own = windows(docs)
             row = np.append(lookup(hashes), 0)
             new = np.flatnonzero(row < 0)
@@ -207,48 +254,47 @@ class Network:
 
 
 def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """A network fitted to labelled texts; the row 0 pair vector stays zero."""
+    """A network fitted to labelled texts."""
     wanted = np.array(labels, np.float32)
-    docs, hashes, spelled, numbers = [], [], [], {}
+    docs, hashes, spelled, seen = [], [], [np.empty(0, np.int32)], set()
     for first, own, h, starts, ends, raw in read(texts):
-        docs.append(first + own)
+        docs.append((first + own).astype(np.int32))
         hashes.append(h)
         pairs = pair_numbers(raw)
         new, at = np.unique(h, return_index=True)
         for key, k in zip(new.tolist(), at.tolist(), strict=True):
-            if key not in numbers:
-                numbers[key] = len(spelled)
-                spelled.append(pairs[starts[k] : ends[k]][:24])
+            if key not in seen:
+                seen.add(key)
+                spelled.append((key, pairs[starts[k] : ends[k]].copy()))
     if not docs or wanted.min() == wanted.max():
         net = Network(np.empty(0, np.uint64), seed)
         net.prior = float(wanted.mean()) if len(wanted) else 0.5
         net.p["out"][:] = 0
-        net.freeze(np.zeros((0, 1), np.int32))
+        net.freeze(spelled[0], np.empty(0, np.int64), np.empty(0, np.int64))
         net.p["b"][0] = np.log((net.prior + 1e-6) / (1 - net.prior + 1e-6))
         return net
-    docs, hashes = np.concatenate(docs), np.concatenate(hashes)
-    order = np.argsort(docs, kind="stable")
-    docs, hashes = docs[order], hashes[order]
+    docs, hashes = np.concatenate(docs), np.concatenate(hashes)  # in the order of the texts
+    distinct, token = np.unique(hashes, return_inverse=True)
+    token = token.astype(np.int32)
+    spelled = [pairs for _, pairs in sorted(spelled[1:], key=lambda s: s[0])]
+    lengths = np.array([len(s) for s in spelled])
+    flat, starts = np.concatenate(spelled), np.cumsum(lengths) - lengths
+    del hashes, spelled, seen, pairs, raw, h, own, new, at
     # words by the number of texts that hold them; their log-odds start one dimension
-    held = np.unique(np.stack([hashes, docs.astype(np.uint64)], 1), axis=0)
-    word, at, n = np.unique(held[:, 0], return_inverse=True, return_counts=True)
-    pos = np.bincount(at, wanted[held[:, 1].astype(np.int64)])
+    held = np.unique(token.astype(np.int64) * len(texts) + docs)
+    n = np.bincount(held // len(texts), minlength=len(distinct))
+    pos = np.bincount(held // len(texts), wanted[held % len(texts)], minlength=len(distinct))
+    del held
     often = np.flatnonzero(n >= 2)
     often = np.sort(often[np.argsort(-n[often], kind="stable")][:VOCABULARY])
-    net = Network(word[often], seed)
+    net = Network(distinct[often], seed)
     net.prior = float(wanted.mean())
     base = np.log(wanted.sum() / (len(wanted) - wanted.sum()))
     odds = np.log((pos[often] + 0.2) / (n[often] - pos[often] + 0.2 / np.exp(base))) - base
     net.p["word"][:-1, 0] += np.clip(odds / 2, -2, 2)
     net.p["b"][0] = base
-    known = Lookup(net.vocabulary)(hashes)
-    distinct, token = np.unique(hashes, return_inverse=True)
-    widest = max(map(len, spelled))
-    pairs = np.zeros((len(distinct), widest), np.int32)
-    for i, key in enumerate(distinct.tolist()):
-        own = spelled[numbers[key]]
-        pairs[i, : len(own)] = own
-    lengths = (pairs > 0).sum(1).astype(np.float32)
+    number = np.full(len(distinct), -1, np.int32)
+    number[often] = np.arange(len(often))
     begin, end = np.searchsorted(docs, np.arange(len(texts))), np.searchsorted(docs, np.arange(len(texts)), "right")
     rng, moment = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, worded = 0, np.flatnonzero(end > begin)
@@ -258,20 +304,18 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
         for part in np.array_split(rng.permutation(worded), n_parts):
             place = np.concatenate([np.arange(begin[k], end[k]) for k in part])
             letters, which = np.unique(token[place], return_inverse=True)
-            char = net.p["char"][pairs[letters]].sum(1) / lengths[letters][:, None]
-            x = np.concatenate([net.p["word"][known[place]], char[which]], 1)
+            char, own_pairs = net.letters(flat, starts[letters], lengths[letters])
+            x = np.concatenate([net.p["word"][number[token[place]]], char[which]], 1)
             rows = net.rows(x)
             at, own = windows(np.repeat(np.arange(len(part)), end[part] - begin[part]))
             y = net.logits(rows, at)
             top = np.lexsort((y, own))[np.append(np.flatnonzero(np.diff(own)), len(own) - 1)]
             _, g, dx = net.gradients(rows, at[top], x, 0.97 * wanted[part][own[top]] + 0.015)
             g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(g["word"], known[place], dx[:, :WORD_DIM])
+            np.add.at(g["word"], number[token[place]], dx[:, :WORD_DIM])
             dchar = np.zeros_like(char)
             np.add.at(dchar, which, dx[:, WORD_DIM:])
-            touched = np.flatnonzero(np.abs(dchar).sum(1))
-            np.add.at(g["char"], pairs[letters[touched]], np.repeat((dchar[touched] / lengths[letters[touched]][:, None])[:, None, :], widest, 1))
-            g["char"][0] = 0
+            np.add.at(g["char"], own_pairs, np.repeat(dchar / lengths[letters][:, None], lengths[letters], 0))
             step += 1
             rate = RATE * (1 - 0.8 * epoch / epochs)
             for k, v in net.p.items():
@@ -279,8 +323,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
                 m += 0.1 * (g[k] - m)
                 s += 0.01 * (g[k] ** 2 - s)
                 v -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-            net.p["char"][0] = 0
-    net.freeze(pairs[np.searchsorted(distinct, net.vocabulary)])
+    net.freeze(flat, starts[often], lengths[often])
     return net
 
 
@@ -290,9 +333,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     wanted = wanted.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = wanted.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, sample_bytes))
-    rows = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r.doc_id)
-    return train([r.text.encode() for r in rows], [int(r.toxic > 0) for r in rows])
+    texts, toxic = [r.text.encode() for r in rows], [int(r.toxic > 0) for r in rows]
+    del rows
+    net = train(texts, toxic)
+    give_back()
+    return net
 
 
 def score(docs: DataFrame, net: Network, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -304,13 +351,12 @@ def score(docs: DataFrame, net: Network, keep: list[str], text_col: str = "text"
     def run(batches):
         model = sent.value
         lookup = Lookup(model.vocabulary)
-        for batch in batches:
-            texts = texts_of(batch, text)
-            scores = np.concatenate([model.scores(texts[lo:hi], lookup) for lo, hi in chunks(texts, 1 << 20)]) if texts else np.empty(0)
+        for batch in slices(batches, text):
+            scores = model.scores(texts_of(batch, text), lookup)
             out = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if f.name in kept.names}
             yield pa.RecordBatch.from_pydict(out | {"score": pa.array(scores.astype(np.float64))})
 
-    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(run, extended(kept, "score double"))
+    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(lean(run), extended(kept, "score double"))
 
 
 def drop_toxic(docs: DataFrame, net: Network, threshold: float = 0.5) -> DataFrame:
