@@ -7,9 +7,9 @@ and the words beside it.  A forest of classification trees, grown in numpy on
 labelled findings, gives the probability that a candidate is a secret.
 
 Labelled findings are a parameter, rows of (text, start, end, path, label);
-the default ones are written by ``labelled_findings``: keys, tokens and
-passwords as they are pasted, and hashes, identifiers, placeholders, words and
-numbers as they are found beside the same words.
+the default ones are written by ``labelled_findings``: keys, tokens, passwords
+and private-key blocks as they are pasted, and hashes, identifiers,
+placeholders, words and numbers as they are found beside the same words.
 
 Findings never carry the secret itself, but its place, length and a
 fingerprint.  Defined cases: null and empty texts have no findings; a null
@@ -31,15 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import extended, table, texts_of
+from ._common import extended, lean, slices, table, texts_of
 
-ASSIGNED = rb"""(?:=>|:=|[=:])[ \t]{0,4}["'`]?([^\s"'`<>,;(){}\[\]]{6,})"""
-RUN = rb"[A-Za-z0-9+/_\-]{20,}={0,2}"
+ASSIGNED = rb"""(?:=>|:=|[=:])[ \t]{0,4}["'`]?(?:(?i:bearer|basic|token)[ \t]+)?([^\s"'`<>,;(){}\[\]]{6,})"""
+RUN = rb"[A-Za-z0-9+/_\-]{16,}+(?:\.[A-Za-z0-9+/_\-]{8,}+)+|[A-Za-z0-9+/_\-]{20,}={0,2}"
 CANDIDATE = re.compile(ASSIGNED + b"|" + RUN)
 #: a private key to its END mark, or as far as lines of key characters go; line breaks may be escaped, headers may precede the key
 BLOCK = re.compile(
     rb"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----)[A-Za-z0-9+/=\s\\:,.()\"'-])*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\+[nrt])*[A-Za-z0-9+/]{16,}={0,2})*+(?:(?:\s|\\+[nrt])+[A-Za-z0-9+/]{1,15}(?:={1,2}|(?=\s*\Z)))?)"
 )
+MARKS = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|\\+[nrt]|\s+")
 #: a value given to a name inside another value, as in the query of an address or in its user part
 INNER = re.compile(rb"[?&;|]?[A-Za-z_][A-Za-z0-9_.\-]{0,63}=([^=&?#|][^&?#|]{5,})|://[^/?#@:]*:([^/?#@]{6,})@")
 #: what precedes a value that is meant to be kept secret, or a value that only looks like one
@@ -115,6 +116,8 @@ def split_words(text: str) -> list[str]:
 
 def describe(text: bytes, start: int, end: int, kind: str, path: str) -> list[float]:
     value = text[start:end].decode("utf-8", "replace")
+    if kind == "block":  # what stands between the marks
+        value = MARKS.sub("", value) or value
     before = text[max(0, start - 48) : start].decode("utf-8", "replace")
     after = text[end : end + 24].decode("utf-8", "replace")
     n = max(1, len(value))
@@ -214,18 +217,40 @@ def labelled_findings(n: int, seed: int = 5) -> list[tuple[str, int, int, str, i
         return " ".join(word() + pick("", "", "", ",", ".") for _ in range(rng.randint(0, k)))
 
     def secret() -> tuple[str, str, str]:
+        if rng.random() < 0.15:
+            return key_block()
         name = pick("token", "secret", "api_key", "apiKey", "password", "access_key", "AWS_SECRET_ACCESS_KEY", "client_secret", "auth_token", "DB_PASSWORD", "private_key", "Authorization: Bearer", "signing-key")
         q = pick('"', "'", "")
         value = pick(
             some(hexa, pick(32, 40, 64)), some(hexa, 40), some(b64, pick(24, 32, 40, 43)), "AKIA" + some(string.ascii_uppercase + string.digits, 16), "ghp_" + some(alnum, 36),
-            "sk-" + some(alnum, 32), "xoxb-" + some(string.digits, 11) + "-" + some(alnum, 24), "AIza" + some(alnum + "-_", 35), "eyJ" + some(alnum, 20) + "." + some(alnum, 40),
+            "sk-" + some(alnum, 32), "xoxb-" + some(string.digits, 11) + "-" + some(alnum, 24), "AIza" + some(alnum + "-_", 35), "eyJ" + some(alnum, 17) + "." + some(alnum, 40) + pick("", "." + some(alnum, 43)),
             word() + some("!@#$%^&*", 2) + some(alnum, 6), some(alnum, pick(10, 12, 16, 20)), some(alnum + "!@#%^*-_", pick(12, 16, 24)),
+            some(pick(b64, alnum, alnum + "-_"), pick(64, 128, 256, 513, 1200, 5000)),
         )
         if value.startswith(PREFIXES) and rng.random() < 0.5:
             return "", value, ""
         return f"{name}{pick(' = ', '=', ': ', ':')}{q}", value, q
 
+    def block(body: str) -> tuple[str, str, str]:
+        """A key between its marks: bare, in quoted or escaped code, with headers, or without its END mark."""
+        kind, line = pick("", "RSA ", "EC ", "DSA ", "OPENSSH ", "ENCRYPTED "), pick("\n", "\n", "\n", "\\n", " ")
+        head = f"Proc-Type: 4,ENCRYPTED{line}DEK-Info: AES-256-CBC,{some(hexa.upper(), 32)}{line}{line}" if line != " " and rng.random() < 0.15 else ""
+        end = f"{line}-----END {kind}PRIVATE KEY-----" if line == " " or rng.random() < 0.9 else ""
+        q = pick('"', "'", '"""', "")
+        lead = pick("", "", "", "", q, f"{word()} = {q}", f"private_key: {q}", f'"key": {q}', f"PRIVATE_KEY={q}", f"{word()}: |{line}", "key.pem\n")
+        return lead, f"-----BEGIN {kind}PRIVATE KEY-----{line}{head}{body if line == ' ' else line.join(body[i : i + 64] for i in range(0, len(body), 64))}{end}", q if q and lead.endswith(q) else ""
+
+    def key_block() -> tuple[str, str, str]:
+        n = rng.choice([48, 100, 300, 800, 1200, 1700, 2350, 4700, 6300]) + rng.randint(0, 40)
+        return block(pick("", "MII", "MIIE", "b3BlbnNzaC1rZXktdjE") + some(b64, n) + pick("", "=", "=="))
+
+    def empty_block() -> tuple[str, str, str]:
+        """Marks around what stands for a key."""
+        return block(pick("your private key here", "...", "PASTE YOUR KEY HERE", "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", "redacted", "MIIE...", "", "example", "placeholder " + word(), " ".join(word() for _ in range(rng.randint(3, 30)))))
+
     def plain() -> tuple[str, str, str]:
+        if rng.random() < 0.06:
+            return empty_block()
         q = pick('"', "'", "")
         word_ = "_".join(word() for _ in range(rng.randint(2, 5)))
         return pick(
@@ -302,15 +327,17 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text", path_col: str
     path = F.col(path_col) if path_col else F.lit("")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "__text"):
             texts = texts_of(batch, "__text")
             paths = ["" if p is None else p for p in batch.column(batch.schema.get_field_index("__path")).to_pylist()]
             rows, found = [], {k.split()[0]: [] for k in FINDING.split(", ")}
             for i, own in enumerate(judge(texts, paths, sent.value)):
+                before = start = 0
                 for s, e, kind, p in own:
                     rows.append(i)
                     value = texts[i][s:e]
-                    start = len(texts[i][:s].decode("utf-8", "replace"))
+                    start += len(texts[i][before:s].decode("utf-8", "replace"))
+                    before = s
                     for k, v in zip(found, (kind, start, len(value.decode("utf-8", "replace")), hashlib.sha256(value).hexdigest()[:16], p, p >= THRESHOLD), strict=True):
                         found[k].append(v)
             at = pa.array(rows, pa.int64())
@@ -318,7 +345,7 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text", path_col: str
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_pydict(out | {k: pa.array(v, t) for (k, v), t in zip(found.items(), kinds, strict=True)})
 
-    return docs.select(*keep, F.col(text_col).alias("__text"), path.cast("string").alias("__path")).mapInArrow(run, extended(kept, FINDING))
+    return docs.select(*keep, F.col(text_col).alias("__text"), path.cast("string").alias("__path")).mapInArrow(lean(run), extended(kept, FINDING))
 
 
 def redacted(text: bytes, found: list[tuple[int, int, str, float]], threshold: float = THRESHOLD) -> bytes:
@@ -336,7 +363,7 @@ def redact(docs: DataFrame, text_col: str = "text", path_col: str | None = "sour
     names = docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, text_col):
             texts, at = texts_of(batch, text_col), names.index(text_col)
             paths = ["" if p is None else p for p in batch.column(names.index(path_col)).to_pylist()] if path_col in names else [""] * len(texts)
             changed, columns = {}, [batch.column(i) for i in range(batch.num_columns)]
@@ -356,7 +383,7 @@ def redact(docs: DataFrame, text_col: str = "text", path_col: str | None = "sour
                     columns[k] = pa.array(sizes, columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op3_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
