@@ -2,18 +2,28 @@
 
 Texts become sets of five-word shingles.  Texts with the same words are one
 node from the start, with a count of copies, so a group of copies costs one
-row however large it is.  A node has ``trees`` signatures of ``depth`` MinHash
-values, each a path in a prefix trie; two nodes are candidates when they share
-a path's first k values in any tree.  k starts at the full depth and is
-shortened until pairs at the threshold are found with the target recall,
-``1 - (1 - threshold ** k) ** trees``.  The tries are never held in one place:
-their nodes at level k are the groups of equal prefixes.
+row however large it is.  A node has ``trees`` paths of MinHash values, each in
+a prefix trie of its own; sorted by their paths the members of a trie node stand
+together, and the tries are held as the groups of equal prefixes, never in one
+place.
+
+Two nodes are candidates when they share a long enough prefix in any tree, and
+how long that is the tries decide.  A node starts at the full depth and its
+prefixes are shortened in two steps.  In each tree it goes up as long as the
+trie node there holds at most ``LEAF`` texts, to ``base`` at most: where few
+texts meet, short prefixes cost nothing.  Where many meet (near copies,
+passages that many documents share) it stays deep, and only if the prefixes
+that it has then wouldn't find a pair at the threshold with the target recall,
+``1 - prod(1 - threshold ** k)`` over its trees' lengths k, the longest of them
+are shortened together, level by level, until they do.  A trie node that any
+text searches is searched for all texts below it.
 
 Candidates are verified on their whole shingle sets.  Nodes that candidates
 connect form a group; a group is dealt into chunks of bounded size, and each
 pair of chunks is one task's block, so no group is collected and no pair is
 ever a row: a block gives, for each of its nodes, its links (weighted with
-copies) and the least node it is connected to.  Where prefixes connect many
+copies) and the least node it is connected to; a pair of a group that is
+verified is a link, whether or not it shares a prefix.  Where prefixes connect many
 nodes loosely, the groups are the trie nodes instead, whichever needs fewer
 rows; a pair then counts in the first tree that it shares.
 
@@ -28,32 +38,42 @@ are not read by the join and kept by ``dedupe``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import chunks, materialize, steady, table, texts_of, with_row_id
+from ._common import lean, materialize, slices, steady, table, texts_of, with_row_id
 from ._words import hashed, mix64
 from .components import components
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 24
-DEPTH = 8
 RECALL = 0.999
-#: nodes, and words, in a chunk of a group
-CHUNK_NODES = 512
+#: levels of the tries below ``base``, the shortest prefix
+STEPS = 3
+#: texts up to which a trie node is searched at the next shorter prefix
+LEAF = 32
+#: nodes, and words, in a chunk of a group; groups of up to FINE chunks of FEW_NODES are dealt finer
+CHUNK_NODES, FEW_NODES, FINE = 512, 128, 16
 CHUNK_WORDS = 2_000_000
 SEED = 20_240_601
 
 
-def prefix_length(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix with which a pair at the threshold is found with this recall."""
-    k = depth
-    while k > 1 and 1 - (1 - threshold**k) ** trees < recall:
-        k -= 1
-    return k
+def evidence(k: int, threshold: float) -> float:
+    """What a prefix of k values adds to the logarithm of a missed pair's chance."""
+    return -math.log1p(-(threshold**k))
+
+
+def base_depth(trees: int = TREES, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The shortest prefix: one less than the longest that gives the recall in all trees alone."""
+    k = 1
+    while trees * evidence(k + 1, threshold) >= -math.log1p(-recall):
+        k += 1
+    return max(1, k - 1)
 
 
 def shingles(docs: np.ndarray, words: np.ndarray, n_docs: int, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -96,46 +116,89 @@ def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**31, n, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, np.uint32)
 
 
-def prefixes(own: np.ndarray, hashes: np.ndarray, n_docs: int, trees: int, k: int) -> np.ndarray:
-    """(texts, trees): a number for the first k MinHash values in each tree; 0 without shingles."""
-    out = np.zeros((n_docs, trees), np.uint64)
+def paths_of(own: np.ndarray, hashes: np.ndarray, n_docs: int, trees: int, base: int) -> np.ndarray:
+    """(texts, 2 * trees): for each tree a number for the first ``base`` MinHash values, and the next
+    STEPS values as 16 bits each, the first one highest; 0 without shingles."""
+    out = np.zeros((n_docs, 2 * trees), np.uint64)
     if len(own):
         first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
         x = (hashes >> np.uint64(32)).astype(np.uint32)
-        a, b = multipliers(trees * k)
+        depth = base + STEPS
+        a, b = multipliers(trees * depth)
         with np.errstate(over="ignore"):
             for t in range(trees):
-                key = np.full(len(first), t + 1, np.uint64)
-                for j in range(t * k, t * k + k):
-                    key = mix64(key ^ np.minimum.reduceat(x * a[j] + b[j], first).astype(np.uint64))
-                out[own[first], t] = key
+                key, rest = np.full(len(first), t + 1, np.uint64), np.zeros(len(first), np.uint64)
+                for j in range(depth):
+                    least = np.minimum.reduceat(x * a[t * depth + j] + b[t * depth + j], first).astype(np.uint64)
+                    if j < base:
+                        key = mix64(key ^ least)
+                    else:
+                        rest = (rest << np.uint64(16)) | (mix64(least) >> np.uint64(48))
+                out[own[first], 2 * t], out[own[first], 2 * t + 1] = key, rest
     return out
 
 
-def signatures(rows: DataFrame, k: int, trees: int = TREES) -> DataFrame:
-    """rid, doc_id, n_words, h1, h2 and the trie prefixes of rows (rid, doc_id, text)."""
+def signatures(rows: DataFrame, base: int, trees: int = TREES) -> DataFrame:
+    """rid, doc_id, n_words, h1, h2 and the trie paths of rows (rid, doc_id, text)."""
 
     def run(batches):
-        for batch in batches:
-            texts = texts_of(batch, "text")
-            for lo, hi in chunks(texts, 1 << 20):
-                n = hi - lo
-                docs, words = hashed(texts[lo:hi])
-                h = content(docs, words, n)
-                keys = prefixes(*shingles(docs, words, n), n, trees, k)
-                part = batch.slice(lo, n)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.bincount(docs, minlength=n)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, n * trees + 1, trees, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))],
-                    names=["rid", "doc_id", "n_words", "h1", "h2", "keys"])
-
-    return rows.mapInArrow(run, "rid long, doc_id long, n_words long, h1 long, h2 long, keys array<long>")
-
-
-def linked(texts: list[bytes], keys: np.ndarray, chunk: np.ndarray, across: bool, tree: int, threshold: float) -> np.ndarray:
-    """Boolean matrix of the pairs of a block that share a prefix and have the Jaccard
-    similarity. In a block of two chunks only pairs across count; in a block of a trie
-    node (``tree`` from 0) only pairs that share no earlier tree."""
+        for batch in slices(batches, "text"):
+            n = batch.num_rows
+            docs, words = hashed(texts_of(batch, "text"))
+            h = content(docs, words, n)
+            paths = paths_of(*shingles(docs, words, n), n, trees, base)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.bincount(docs, minlength=n)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * n * trees + 1, 2 * trees, dtype=np.int32)), pa.array(paths.view(np.int64).ravel()))],
+                names=["rid", "doc_id", "n_words", "h1", "h2", "paths"])
+
+    return rows.mapInArrow(lean(run), "rid long, doc_id long, n_words long, h1 long, h2 long, paths array<long>")
+
+
+def shortened(shared: DataFrame, base: int, trees: int, threshold: float, recall: float, leaf: int = LEAF) -> DataFrame:
+    """node, tree, depth and key of the prefix that each path ends up with. ``shared``: node, tree, key, rest and
+    n (texts with this key) of the paths that aren't alone at ``base``."""
+    depth, few = base + STEPS, shared.where(F.col("n") <= leaf).select("node", "tree", F.lit(base).alias("depth"), F.xxhash64("key", F.lit(0).cast("long"), F.lit(base)).alias("key"))
+    many = shared.where(F.col("n") > leaf).select("node", "tree", "key", "rest")
+    up = lambda k: F.call_function("shiftright", F.col("rest"), F.lit(16 * (depth - k)))
+    levels = list(range(base + 1, depth))
+    # texts of the trie nodes, from the full paths up
+    full = many.groupBy("key", "rest").agg(F.count("*").alias("n"))
+    sized = full.select("key", "rest", F.col("n").alias(f"n{depth}"))
+    for k in levels:
+        above = full.groupBy("key", up(k).alias("p")).agg(F.sum("n").alias(f"n{k}"))
+        sized = sized.withColumn("p", up(k)).join(above, ["key", "p"]).drop("p")
+    wanted = F.lit(depth)
+    for k in reversed(levels):
+        wanted = F.when(F.col(f"n{k}") <= leaf, k).otherwise(wanted)
+    paths = many.join(sized.select("key", "rest", wanted.alias("wanted")), ["key", "rest"])
+    # how deep each node may stay for the recall: its other trees are at base
+    counts = paths.groupBy("node").agg(*(F.count(F.when(F.col("wanted") == k, 1)).alias(f"c{k}") for k in range(base + 1, depth + 1)))
+    alone = F.lit(trees) - sum((F.col(f"c{k}") for k in range(base + 1, depth + 1)), F.lit(0))
+    limit = F.lit(base)
+    for x in range(base + 1, depth + 1):
+        found = alone * F.lit(evidence(base, threshold)) + sum((F.col(f"c{k}") * F.lit(evidence(min(k, x), threshold)) for k in range(base + 1, depth + 1)), F.lit(0.0))
+        limit = F.when(found >= F.lit(-math.log1p(-recall)), x).otherwise(limit)
+    own = materialize(paths.join(counts.select("node", limit.alias("most")), "node").select("node", "tree", "key", "rest", F.least("wanted", "most").alias("d")), "depths")
+    # the shortest prefix that any text below it searches
+    searched = own.groupBy("key", "rest").agg(*(F.max((F.col("d") == k).cast("int")).alias(f"s{k}") for k in (base, *levels)))
+    ends, at = searched.select("key", "rest"), F.lit(depth)
+    for k in reversed((base, *levels)):
+        above = searched.groupBy("key", up(k).alias("p")).agg(F.max(f"s{k}").alias(f"a{k}"))
+        ends = ends.withColumn("p", up(k)).join(above, ["key", "p"]).drop("p")
+        at = F.when(F.col(f"a{k}") == 1, k).otherwise(at)
+    ends = ends.select("key", "rest", at.alias("depth"))
+    prefix = F.lit(0).cast("long")
+    for k in range(base + 1, depth + 1):
+        prefix = F.when(F.col("depth") == k, up(k)).otherwise(prefix)
+    deep = own.select("node", "tree", "key", "rest").join(ends, ["key", "rest"]).select("node", "tree", "depth", F.xxhash64("key", prefix, "depth").alias("key"))
+    return few.unionByName(deep)
+
+
+def linked(texts: list[bytes], keys: np.ndarray | None, chunk: np.ndarray, across: bool, tree: int, threshold: float) -> np.ndarray:
+    """Boolean matrix of the pairs of a block that have the Jaccard similarity. In a block of
+    two chunks only pairs across count; in a block of a trie node (``tree`` from 0) only pairs
+    that share no earlier tree's prefix (``keys``, 0 for none)."""
     m = len(texts)
     own, hashes = shingles(*hashed(texts), m)
     order = np.lexsort((own, hashes))
@@ -160,10 +223,10 @@ def linked(texts: list[bytes], keys: np.ndarray, chunk: np.ndarray, across: bool
     np.fill_diagonal(out, False)
     if across:
         out &= chunk[:, None] != chunk[None, :]
-    for i in np.flatnonzero(out.any(1)):
-        js = np.flatnonzero(out[i])
-        same = keys[js] == keys[i]
-        out[i, js] = same.any(1) if tree < 0 else same.argmax(1) == tree
+    if tree >= 0:
+        for i in np.flatnonzero(out.any(1)):
+            js = np.flatnonzero(out[i])
+            out[i, js] = ((keys[js] == keys[i]) & (keys[i] != 0)).argmax(1) == tree
     return out
 
 
@@ -186,7 +249,7 @@ def verify(blocks: DataFrame, threshold: float) -> DataFrame:
 
     def close(rows: list) -> pa.RecordBatch | None:
         rows.sort(key=lambda r: r[5])
-        texts, keys = [r[9] for r in rows], np.array([r[8] for r in rows], np.int64)
+        texts, keys = [r[9] for r in rows], np.array([r[8] for r in rows], np.int64) if rows[0][3] >= 0 else None
         if any(int(h.astype(np.int64)) != r[7] for h, r in zip(content(*hashed(texts), len(rows))[0], rows, strict=True)):
             raise RuntimeError("the input's rows changed between two reads")
         link = linked(texts, keys, np.array([r[4] for r in rows]), rows[0][1] != rows[0][2], rows[0][3], threshold)
@@ -198,7 +261,7 @@ def verify(blocks: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         group, held = None, []
-        for batch in batches:
+        for batch in slices(batches, "text"):
             columns = [texts_of(batch, c) if c == "text" else batch.column(batch.schema.get_field_index(c)).to_pylist() for c in kept]
             for row in zip(*columns, strict=True):
                 if row[:3] != group:
@@ -210,7 +273,7 @@ def verify(blocks: DataFrame, threshold: float) -> DataFrame:
             yield out
 
     dealt = blocks.select(*kept).repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3")
-    return dealt.mapInArrow(run, "node long, links long, root long")
+    return dealt.mapInArrow(lean(run), "node long, links long, root long")
 
 
 def block_rows(nodes: DataFrame, group: str, sizes: DataFrame, tree) -> DataFrame:
@@ -222,21 +285,27 @@ def block_rows(nodes: DataFrame, group: str, sizes: DataFrame, tree) -> DataFram
 
 
 def chunk_count():
-    return F.greatest(F.ceil(F.count("*") / F.lit(CHUNK_NODES)), F.ceil(F.sum("n_words") / F.lit(CHUNK_WORDS))).cast("long")
+    n = F.count("*")
+    by_nodes = F.greatest(F.ceil(n / F.lit(CHUNK_NODES)), F.least(F.ceil(n / F.lit(FEW_NODES)), F.lit(FINE)))
+    return F.greatest(by_nodes, F.ceil(F.sum("n_words") / F.lit(CHUNK_WORDS))).cast("long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
     """rid, doc_id, class_rid, class_id, n_links, n_copies for every row; rid as with_row_id() numbers them."""
-    k = prefix_length(trees, depth, threshold, recall)
+    base = base_depth(trees, threshold, recall)
     rows = with_row_id(steady(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("rid", "doc_id", "text")
-    sig = materialize(signatures(rows, k, trees), "signatures")
+    sig = materialize(signatures(rows, base, trees), "signatures")
     worded = sig.where("n_words > 0")
     reps = worded.groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
-    nodes = materialize(reps.join(sig.select(F.col("rid").alias("node"), "n_words", "keys"), "node"), "nodes")
-    paths = nodes.select("node", "n_words", F.posexplode("keys").alias("tree", "key"))
-    tries = paths.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead"), chunk_count().alias("chunks"), F.min("tree").alias("tree")).where("n > 1")
+    nodes = materialize(reps.join(sig.select(F.col("rid").alias("node"), "n_words", "paths"), "node"), "nodes")
+    path = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.get("paths", 2 * t).alias("key"), F.get("paths", 2 * t + 1).alias("rest")))
+    paths = nodes.select("node", F.inline(path))
+    met = paths.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(paths.join(met, "key"), "shared-paths")
+    ends = materialize(shortened(shared, base, trees, threshold, recall, leaf).join(nodes.select("node", "n_words"), "node"), "prefixes")
+    tries = ends.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead"), chunk_count().alias("chunks"), F.min("tree").alias("tree")).where("n > 1")
     tries = materialize(tries, "tries")
-    hits = materialize(paths.select("node", "key").join(tries, "key"), "hits")
+    hits = materialize(ends.select("node", "key").join(tries, "key"), "hits")
     groups = components(hits.select(F.col("node").alias("a"), F.col("lead").alias("b")))
     member = groups.select(F.col("a").alias("node"), F.col("b").alias("grp")).unionByName(groups.select(F.col("b").alias("node"), F.col("b").alias("grp")).distinct())
     member = materialize(member.join(nodes.select("node", "n_words"), "node"), "members")
@@ -246,8 +315,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     by_group = block_rows(member.select("node", "grp"), "grp", plan.where("by_group").select("grp", "chunks"), F.lit(-1))
     scattered = member.join(plan.where("not by_group").select("grp"), "grp", "left_semi").select("node")
     by_trie = block_rows(hits.join(scattered, "node", "left_semi").select("node", "key", "tree"), "key", tries.select("key", "chunks"), F.col("tree"))
+    entries = F.map_from_entries(F.collect_list(F.struct("tree", "key")))  # one a tree at most
+    keys = hits.join(scattered, "node", "left_semi").groupBy("node").agg(entries.alias("m"))
+    keys = keys.select("node", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0).cast("long"))).alias("keys"))
     payload = rows.select(F.col("rid").alias("node"), "text").join(member.select("node"), "node", "left_semi")
-    payload = materialize(payload.join(nodes.select("node", "copies", "h1", "keys"), "node"), "payload")
+    payload = materialize(payload.join(nodes.select("node", "copies", "h1"), "node").join(keys, "node", "left"), "payload")
     found = materialize(verify(by_group.unionByName(by_trie).join(payload, "node"), threshold), "links")
     stars = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
