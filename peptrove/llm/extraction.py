@@ -12,10 +12,14 @@ Labelled pages are a parameter.  The default ones are written by
 footers and reader comments, in semantic and in class-named mark-up, with
 unclosed tags, in made-up words so that no vocabulary is learnt.
 
+A page is read in one pass whose time is in proportion to its length, whatever
+its mark-up.
+
 Defined cases: null or empty html, and pages without text, give the empty
 text; unclosed and unmatched tags are closed where HTML closes them; an
-unclosed script or comment reaches to the end; repeated rows each get a row;
-an empty table gives no rows; other columns are not read.
+unclosed script or comment reaches to the end; a tag without its end is text,
+and one with a quote that never closes ends at the next ``>``; repeated rows
+each get a row; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,13 +27,16 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import chunks, extended, table, texts_of
+from ._common import extended, lean, slices, table, texts_of
 
 #: elements that don't break a block
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -40,6 +47,8 @@ RAW = frozenset("script style noscript template textarea svg math iframe object
 ENDS = {
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head", "title"},
 } | {t: {"p"} for t in "p div h1 h2 h3 h4 h5 h6 ul ol dl table section article aside nav header footer main form blockquote pre figure address fieldset hr details".split()}
+#: elements that an implied end may close; head and title end with body
+IMPLIED = frozenset().union(*ENDS.values()) - {"head", "title"}
 #: an implied end goes no further up than these
 SCOPE = frozenset("table ul ol dl div section article aside nav header footer main form body html td th blockquote".split())
 TAGS = "head title nav header footer aside article main section form ul ol dl li table td p h1 h2 h3 h4 h5 h6 div blockquote pre figure figcaption button address details body dialog".split()
@@ -56,7 +65,8 @@ HINTS = {
     "main": "content article post entry main body story text maincontent articlebody postcontent entrycontent",
 }
 HINT_OF = {w: k for k, ws in HINTS.items() for w in ws.split()}
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile("[>\"']")
 MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SIZES = (1, 3, 6, 12, 25, 50, 100)
 NAMES = (
@@ -78,66 +88,150 @@ def marks(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], frozenset[str], int]]:
-    """Leaf blocks in order: text, ancestors' names, ancestors' hints, characters of link text."""
-    out: list = []
-    stack: list[tuple[str, frozenset[str]]] = []
+class Block(NamedTuple):
+    """A leaf block: its text, the names in TAGS and the hints of its ancestors, the innermost name, characters of link text."""
+
+    text: str
+    names: frozenset[str]
+    leaf: str
+    hints: frozenset[str]
+    link: int
+
+
+def tag_end(page: str, at: int, failed: set[int]) -> int:
+    """Where the ``>`` is that ends the attributes from ``at``, quoted ones passed over; the next ``>`` if
+    a quote never closes. ``failed`` holds the quotes from which that was found, so none is followed twice."""
+    p, passed = at, []
+    while (m := SPECIAL.search(page, p)) is not None and m.start() not in failed:
+        q = m.start()
+        if page[q] == ">":
+            return q
+        passed.append(q)
+        p = page.find(page[q], q + 1) + 1
+        if not p:
+            break
+    failed.update(passed)
+    return page.find(">", at)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, name, closing, attributes) of each tag in one pass; comments have an empty name, as has the end."""
+    last, at, failed, begin = page.rfind(">"), 0, set(), 0
+    while (i := page.find("<", at)) >= 0:
+        name, closing, attributes = "", False, ""
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4) + 3
+        elif page.startswith("<![CDATA[", i):
+            end = page.find("]]>", i + 9) + 3
+        elif i > last:
+            break  # no tag ends any more
+        elif page.startswith(("<!", "<?"), i):
+            end = page.find(">", i + 2) + 1
+        elif m := TAG.match(page, i + 1):
+            end = tag_end(page, m.end(), failed) + 1
+            name, closing, attributes = m[2].lower(), bool(m[1]), page[m.end() : end - 1]
+        else:
+            at = i + 1
+            continue
+        end = end if end > i else len(page)  # an unclosed comment
+        if name in RAW and not closing and not attributes.endswith("/"):
+            m = re.compile(rf"</{name}\b", re.I).search(page, end)
+            end = page.find(">", m.end()) + 1 if m else 0
+            end = end or len(page)
+        yield page[begin:i], name, closing, attributes
+        begin = at = end
+    yield page[begin:], "", False, ""
+
+
+class Ancestors:
+    """The open elements. Counts of their names and hints are kept, so that a block costs the same at any depth."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, frozenset[str]]] = []
+        self.names: Counter[str] = Counter()
+        self.hints: Counter[str] = Counter()
+        self.bounds: list[int] = []  # places of elements that an implied end looks at
+
+    def push(self, name: str, hints: frozenset[str]) -> None:
+        if name in SCOPE or name in IMPLIED:
+            self.bounds.append(len(self.stack))
+        self.stack.append((name, hints))
+        self.names[name] += 1
+        self.hints.update(hints)
+
+    def cut(self, k: int) -> None:
+        """Ends all elements from the k-th on."""
+        while len(self.stack) > k:
+            name, hints = self.stack.pop()
+            self.names[name] -= 1
+            if not self.names[name]:
+                del self.names[name]
+            self.hints.subtract(hints)
+        while self.bounds and self.bounds[-1] >= k:
+            self.bounds.pop()
+
+    def close(self, names: set[str]) -> None:
+        """Ends the innermost element of these names, if one is open."""
+        if any(n in self.names for n in names):
+            k = len(self.stack) - 1
+            while self.stack[k][0] not in names:
+                k -= 1
+            self.cut(k)
+
+    def imply(self, name: str) -> None:
+        """Ends what a start tag of this name ends."""
+        if name == "body":
+            self.close(ENDS[name])
+            return
+        for k in reversed(self.bounds):
+            if self.stack[k][0] in ENDS[name]:
+                self.cut(k)
+                return
+            if self.stack[k][0] in SCOPE:
+                return
+
+
+def blocks(page: str) -> list[Block]:
+    """Leaf blocks in order."""
+    out: list[Block] = []
+    open_ = Ancestors()
     parts: list[str] = []
-    state = {"link": 0, "chars": 0}
+    in_link, chars = False, 0
 
     def flush() -> None:
+        nonlocal chars
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                hints = frozenset().union(*(h for _, h in stack)) if stack else frozenset()
-                out.append((text, tuple(n for n, _ in stack), hints, min(state["chars"], len(text))))
+                names, hints = frozenset(t for t in TAGS if t in open_.names), frozenset(h for h, n in open_.hints.items() if n)
+                out.append(Block(text, names, open_.stack[-1][0] if open_.stack else "", hints, min(chars, len(text))))
             parts.clear()
-            state["chars"] = 0
+            chars = 0
 
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
+    for text, name, closing, attributes in tokens(page):
         if text:
             parts.append(text)
-            if state["link"]:
-                state["chars"] += len(text)
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+            chars += len(text) * in_link
         if not name:
             continue
-        closing, attributes = (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if name in RAW:
-            if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
             if name not in ("svg", "math"):
                 parts.append(" ")
         elif name in INLINE:
             if name == "a":
-                state["link"] = 0 if closing else 1
+                in_link = not closing
         elif name == "br":
             parts.append(" ")
         elif closing:
             flush()
-            state["link"] = 0
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            in_link = False
+            open_.close({name})
         else:
             flush()
             if name in ENDS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ENDS[name]:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SCOPE and name != "body":
-                        break
+                open_.imply(name)
             if name not in VOID:
-                stack.append((name, marks(attributes)))
+                open_.push(name, marks(attributes))
     flush()
     return out
 
@@ -146,10 +240,8 @@ def features(page_blocks: list) -> np.ndarray:
     """A row of 0 and 1 for each block."""
     x = np.zeros((len(page_blocks), len(NAMES)), np.float32)
     n = len(page_blocks)
-    for i, (text, names, hints, link) in enumerate(page_blocks):
-        on = [f"in:{t}" for t in set(names)] + [f"hint:{h}" for h in hints]
-        if names:
-            on.append(f"leaf:{names[-1]}")
+    for i, (text, names, leaf, hints, link) in enumerate(page_blocks):
+        on = [f"in:{t}" for t in names] + [f"hint:{h}" for h in hints] + [f"leaf:{leaf}"]
         words = text.count(" ") + 1
         size = next((f"words<{k}" for k in SIZES if words < k), "words+")
         share = link / max(1, len(text))
@@ -173,6 +265,18 @@ def features(page_blocks: list) -> np.ndarray:
     return x
 
 
+def batches_of(order: list[int], sizes: list[int], most: int = 1 << 14) -> Iterator[list[int]]:
+    """Pages of rising sizes together, as many as ``most`` blocks hold when all are as long as the last; one at least."""
+    own: list[int] = []
+    for i in order:
+        if own and (len(own) + 1) * sizes[i] > most:
+            yield own
+            own = []
+        own.append(i)
+    if own:
+        yield own
+
+
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     longest = max([1, *map(len, pages)])
     x = np.zeros((len(pages), longest, len(NAMES)), np.float32)
@@ -201,8 +305,7 @@ class Chain:
         """Viterbi: the most probable labels of each page."""
         out: list = [np.zeros(0, np.int64)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i]))
-        for lo in range(0, len(order), 64):
-            own = order[lo : lo + 64]
+        for own in batches_of(order, [len(p) for p in pages]):
             x, there = padded([pages[i] for i in own])
             e = self.emissions(x)
             best, back = self.start + e[:, 0], []
@@ -363,8 +466,8 @@ def labelled_pages(n: int, seed: int = 11) -> list[tuple[str, list[str]]]:
 def labels_of(page_blocks: list, main: list[str]) -> np.ndarray:
     """1 for the blocks that are the main texts, matched in order."""
     out, k = np.zeros(len(page_blocks), np.int64), 0
-    for i, (text, names, _, _) in enumerate(page_blocks):
-        if k < len(main) and text == main[k] and "title" not in names:
+    for i, block in enumerate(page_blocks):
+        if k < len(main) and block.text == main[k] and "title" not in block.names:
             out[i], k = 1, k + 1
     return out
 
@@ -385,7 +488,7 @@ def default_model(pages: int = 400, seed: int = 11) -> Chain:
 def main_texts(pages: list[str], model: Chain) -> list[str]:
     read = [blocks(p) for p in pages]
     labels = model.decode([features(b) for b in read])
-    return ["\n\n".join(b[0] for b, y in zip(own, path, strict=True) if y) for own, path in zip(read, labels, strict=True)]
+    return ["\n\n".join(b.text for b, y in zip(own, path, strict=True) if y) for own, path in zip(read, labels, strict=True)]
 
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html", model: Chain | None = None) -> DataFrame:
@@ -395,15 +498,12 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html", model: Ch
     name = "__html"
 
     def run(batches):
-        for batch in batches:
-            own = texts_of(batch, name)
-            texts: list[str] = []
-            for lo, hi in chunks(own, 1 << 20):
-                texts += main_texts([p.decode("utf-8", "replace") for p in own[lo:hi]], sent.value)
+        for batch in slices(batches, name):
+            texts = main_texts([p.decode("utf-8", "replace") for p in texts_of(batch, name)], sent.value)
             out = {f.name: batch.column(i) for i, f in enumerate(batch.schema) if f.name in kept.names}
             yield pa.RecordBatch.from_pydict(out | {"text": pa.array(texts, pa.string())})
 
-    return pages.select(*keep, F.col(html_col).alias(name)).mapInArrow(run, extended(kept, "text string"))
+    return pages.select(*keep, F.col(html_col).alias(name)).mapInArrow(lean(run), extended(kept, "text string"))
 
 
 def op8_linear_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
 import itertools
+import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -30,7 +33,50 @@ def test_blocks_of_bad_markup():
     assert texts("<p>a<p>b</div>c<li>d<li>e") == ["a", "b", "c", "d", "e"]
     assert texts("a < b & c &lt; <script>x<y") == ["a < b & c <"]
     assert texts("x<!-- <p>y</p> ") == ["x"] and texts("<p title='a>b'>z</p>") == ["z"] and texts("<td>1<td>2") == ["1", "2"]
-    assert X.blocks("<div class='x'><p>t</p></div>")[0][1] == ("div", "p")
+    block, = X.blocks("<div class='x sidebar'><p>t</p></div>")
+    assert block.names == {"div", "p"} and block.leaf == "p" and block.hints == {"side"}
+    assert texts("a <b 'c> d <i>e</i>") == ["a d e"] and texts("<p>a <q") == ["a <q"] and texts("</script <p>x") == ["x"] and texts("<script>a</script\n>b") == ["b"]
+
+
+def plain_tokens(page):
+    """Tags by trying the whole pattern at every place (for comparison on short pages)."""
+    pattern = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+    out, at = [], 0
+    while m := pattern.search(page, at):
+        name, closing, rest = (m[2] or m[5] or "").lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        end = m.end()
+        if name in X.RAW and not closing and not rest.endswith("/"):
+            e = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, end)
+            end = e.end() if e else len(page)
+        out.append((page[at : m.start()], name, closing, rest))
+        at = end
+    return [*out, (page[at:], "", False, "")]
+
+
+def test_tokens_are_those_of_the_pattern():
+    rng = random.Random(4)
+    parts = ["<a ", "</p ", ">", '"', "'", "x", " y=", "<b>", "<!-- ", "-->", "<script>", "</script>", "<", "/", "<!x", "<![CDATA[", "]]>", "<p class='", "\n"]
+    for _ in range(4000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert list(X.tokens(page)) == plain_tokens(page), page
+
+
+def test_time_in_proportion_to_the_length():
+    n = 1 << 20
+    pages = [
+        "<a ", "</p ", "<a x=\"'>", "<a '\"'", "<script></script ", "<x><y>t", "</y><x>", "<div>x", "<title>", "<title><p>x</p>", "<x><p>", "<!--", "<![CDATA[", "<body><x>", "<p class='", "<td>1", "&amp", "<",
+    ]
+    model = X.default_model()
+    for unit in pages:
+        for page in (unit * (n // len(unit)), "<p>t</p>" + unit * (n // len(unit)) + ">"):
+            began = time.process_time()
+            X.main_texts([page], model)
+            assert time.process_time() - began < 20, unit  # a quadratic reader takes hours
+
+
+def test_a_deep_page_beside_many_short_ones(model):
+    pages = [PAGE] * 100 + ["<div>x" * 30_000]
+    assert X.main_texts(pages, model)[:100] == X.main_texts([PAGE], model) * 100
 
 
 def test_viterbi_is_the_best_path():
