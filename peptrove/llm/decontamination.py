@@ -7,13 +7,17 @@ other word is 0, on which the automaton falls back to its root) and every
 occurrence of every pattern is found, overlapping ones too.  Offsets in words
 map back to character offsets of the original text.
 
-The items are small beside the documents, but they are never assumed to be:
-they are cut into blocks of at most ``block_bytes`` of text, each with an
-automaton of its own that is broadcast, and one scan a block carries the hits
-on.  With one block, which is the usual case, the texts are read once.
+Items of the same text are one, with all their ids.  The different texts are
+small beside the documents, but they are never assumed to be: they are dealt
+into blocks of about ``block_bytes``, each with an automaton of its own that is
+broadcast, and one scan a block carries the hits on.  The driver holds one
+block at a time.  With one block, which is the usual case, the texts are read
+once.  A worker holds about 170 MB for an automaton of 1 MB of items, which is
+what bounds a block.
 
 Defined cases: null and empty texts have no words, no hits and aren't
-contaminated; repeated rows each get a row; equal items are all reported; an
+contaminated; repeated rows each get a row; equal items are all reported; item
+ids of any kind are read as text, a null id is the empty one; an
 empty benchmark or table gives zeros or no rows; other columns are not read.
 """
 
@@ -21,58 +25,59 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import as_one, extended, materialize, table, texts_of
+from ._common import as_one, extended, lean, materialize, slices, table, texts_of
 from ._words import WORD_RE, words
 
 WINDOW = 13
 #: contaminated: at least one hit word, and one word in SHARE or more
 SHARE = 20
-BLOCK_BYTES = 8 << 20
-CARRY = "item_ids array<long>, hit_from array<long>, hit_to array<long>"
+BLOCK_BYTES = 1 << 20
+CARRY = "item_ids array<string>, hit_from array<long>, hit_to array<long>"
 
 _BUILT: dict[str, tuple] = {}
 
 
-def patterns(items: list[tuple[int, bytes]], window: int = WINDOW) -> tuple[dict[bytes, int], dict[tuple, set]]:
-    """Numbers of the items' words from 1, and item ids by pattern."""
+def patterns(texts: list[bytes], window: int = WINDOW) -> tuple[dict[bytes, int], dict[tuple, set[int]]]:
+    """Numbers of the texts' words from 1, and the places of texts by pattern."""
     number: dict[bytes, int] = {}
-    found: dict[tuple, set] = {}
-    for item_id, text in items:
+    found: dict[tuple, set[int]] = {}
+    for place, text in enumerate(texts):
         own = [number.setdefault(w, len(number) + 1) for w in words(text)]
         if own:
             for i in range(max(1, len(own) - window + 1)):
-                found.setdefault(tuple(own[i : i + window]), set()).add(item_id)
+                found.setdefault(tuple(own[i : i + window]), set()).add(place)
     return number, found
 
 
-def automaton(items: list[tuple[int, bytes]], window: int = WINDOW) -> tuple[dict[bytes, int], object]:
-    number, found = patterns(items, window)
+def automaton(texts: list[bytes], window: int = WINDOW) -> tuple[dict[bytes, int], object]:
+    number, found = patterns(texts, window)
     machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for pattern, ids in found.items():
-        machine.add_word(pattern, (len(pattern), tuple(ids)))
+    for pattern, places in found.items():
+        machine.add_word(pattern, (len(pattern), tuple(places)))
     if found:
         machine.make_automaton()
     return number, machine if found else None
 
 
-def occurrences(own: list[bytes], number: dict[bytes, int], machine) -> tuple[set, list[tuple[int, int]]]:
-    """Item ids and [from, to) in words of all occurrences in one document."""
-    ids: set = set()
+def occurrences(own: list[bytes], number: dict[bytes, int], machine) -> tuple[set[int], list[tuple[int, int]]]:
+    """Places of item texts and [from, to) in words of all occurrences in one document."""
+    places: set[int] = set()
     spans: list[tuple[int, int]] = []
     if machine is not None and own:
-        for end, (n, item_ids) in machine.iter(tuple([number.get(w, 0) for w in own])):
-            ids.update(item_ids)
+        for end, (n, here) in machine.iter(tuple([number.get(w, 0) for w in own])):
+            places.update(here)
             if spans and spans[-1][1] >= end + 1 - n >= spans[-1][0]:
                 spans[-1] = (spans[-1][0], max(spans[-1][1], end + 1))
             else:
                 spans.append((end + 1 - n, end + 1))
-    return ids, spans
+    return places, spans
 
 
 def covered(spans: list[tuple[int, int]]) -> int:
@@ -90,43 +95,47 @@ def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(at[lo][0], at[hi - 1][1]) for lo, hi in spans]
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str) -> list[list[tuple[int, bytes]]]:
-    """All items in blocks that are each small enough to be broadcast."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+def item_blocks(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str) -> Iterator[tuple[list[bytes], list[list[str]], bool]]:
+    """(texts, their ids, whether it is the last): all items in blocks that are each small enough to be
+    broadcast, collected one at a time. Equal texts come once."""
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
+    items = rows.groupBy("t").agg(F.array_sort(F.collect_set("i")).alias("i"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t") + F.aggregate("i", F.lit(0), lambda n, x: n + F.octet_length(x))), F.lit(0))).first()[0]
+    if size > block_bytes:
+        items = materialize(items, "items")
     n = max(1, -(-size // block_bytes))
-    items = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    return [[(r.i, r.t.encode()) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()] for k in range(n)]
+    for k in range(n):
+        own = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()
+        yield [r.t.encode() for r in own], [r.i for r in own], k == n - 1
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, spans: bool = False) -> DataFrame:
     """Columns ``keep`` of every row, n_words, n_hit, item_ids (sorted), and with
     ``spans`` the hit stretches as character offsets hit_from and hit_to."""
     spark = docs.sparkSession
-    blocks = item_blocks(benchmark, block_bytes, item_col, item_text)
     kept = docs.select(*keep).schema
     text = "__text"
     state = docs.select(*keep, F.col(text_col).alias(text), *(F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split(" ", 1)[0]) for c in CARRY.split(", ")))
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+    for block, item_ids, last in item_blocks(benchmark, block_bytes, item_col, item_text):
+        sent, name = spark.sparkContext.broadcast((block, item_ids)), uuid.uuid4().hex
 
         def run(batches, sent=sent, name=name, last=last):
             if name not in _BUILT:
                 _BUILT.clear()
-                _BUILT[name] = automaton(sent.value, window)
-            number, machine = _BUILT[name]
-            for batch in batches:
+                _BUILT[name] = (*automaton(sent.value[0], window), sent.value[1])
+            number, machine, ids_of = _BUILT[name]
+            for batch in slices(batches, text):
                 texts = texts_of(batch, text)
                 before = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("item_ids", "hit_from", "hit_to")]
                 n_words, n_hit, ids, los, his = [], [], [], [], []
                 for t, a, lo, hi in zip(texts, *before, strict=True):
                     own = words(t)
                     found, stretches = occurrences(own, number, machine)
-                    found |= set(a or ())
+                    found = {i for k in found for i in ids_of[k]}.union(a or ())
                     stretches += list(zip(lo or (), hi or (), strict=True))
                     n_words.append(len(own))
                     n_hit.append(covered(stretches))
-                    ids.append(sorted(found, key=lambda x: (x is None, x)))
+                    ids.append(sorted(found))
                     merged = merge(stretches)
                     if last:
                         merged = char_spans(t.decode("utf-8", "replace"), merged) if spans and merged else []
@@ -138,13 +147,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str =
                     out[text] = batch.column(batch.schema.get_field_index(text))
                 else:
                     out |= {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64())}
-                out |= {"item_ids": pa.array(ids, long_list), "hit_from": pa.array(los, long_list), "hit_to": pa.array(his, long_list)}
+                out |= {"item_ids": pa.array(ids, pa.list_(pa.string())), "hit_from": pa.array(los, long_list), "hit_to": pa.array(his, long_list)}
                 yield pa.RecordBatch.from_pydict(out)
 
         middle = "n_words long, n_hit long" if last else f"`{text}` string"
-        state = state.mapInArrow(run, extended(kept, f"{middle}, {CARRY}"))
+        state = state.mapInArrow(lean(run), extended(kept, f"{middle}, {CARRY}"))
         if not last:
             state = materialize(state, "decontamination-block")
+            sent.destroy()
     return state if spans else state.drop("hit_from", "hit_to")
 
 
@@ -169,7 +179,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op2_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
-    listed = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
+    listed = F.array_join(F.array_sort("item_ids"), ",")
     return hits.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 

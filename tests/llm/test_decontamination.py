@@ -18,7 +18,8 @@ def test_against_brute_force(spark, odd):
     bench = spark.createDataFrame(list(ITEMS.items()), "item_id long, text string")
     for block_bytes in (1 << 20, 40):  # one automaton, and several
         got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in D.scan(docs, bench, ["doc_id"], block_bytes=block_bytes).collect()}
-        assert got == {i: D.brute_force(t or "", {k: v for k, v in ITEMS.items() if v}) for i, t in enumerate(texts)}
+        plain = {i: D.brute_force(t or "", {k: v for k, v in ITEMS.items() if v}) for i, t in enumerate(texts)}
+        assert got == {i: (n, hit, sorted(map(str, ids))) for i, (n, hit, ids) in plain.items()}
 
 
 def test_spans_are_of_the_original_text(spark):
@@ -33,11 +34,23 @@ def test_spans_are_of_the_original_text(spark):
 def test_automaton_finds_every_window(items, doc):
     texts = {i: " ".join(w) for i, w in enumerate(items)}
     own = " ".join(doc).encode()
-    number, machine = D.automaton([(i, t.encode()) for i, t in texts.items()], 13)
+    number, machine = D.automaton([t.encode() for t in texts.values()], 13)
     ids, spans = D.occurrences(D.words(own), number, machine)
     assert (len(D.words(own)), D.covered(spans), sorted(ids)) == D.brute_force(own.decode(), texts)
 
 
+def test_a_third_of_the_items_is_one_text(spark):
+    """Equal items are one pattern with many ids, and the blocks hold each text once."""
+    items = [(i, "alpha beta gamma" if i % 3 == 0 else f"w{i} x{i} y{i}") for i in range(300)] + [(None, "q r"), (7, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(D.item_blocks(bench, 1 << 9, "item_id", "text"))
+    texts = [t for own, _, _ in blocks for t in own]
+    assert len(texts) == len(set(texts)) == 202 and [last for *_, last in blocks] == [False] * (len(blocks) - 1) + [True] and len(blocks) > 3
+    docs = spark.createDataFrame([(1, "so alpha beta gamma w7 x7 y7"), (2, "q r"), (3, "none")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.item_ids) for r in D.scan(docs, bench, ["doc_id"], block_bytes=1 << 9).collect()}
+    assert got == {1: (6, sorted([str(i) for i in range(0, 300, 3)] + ["7"])), 2: (2, [""]), 3: (0, [])}
+
+
 def test_odd_rows_and_empty_tables(spark, odd, nothing):
     bench = spark.createDataFrame([(1, "one"), (2, None)], "item_id long, text string")
     kept = D.decontaminate(odd, bench)
