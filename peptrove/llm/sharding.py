@@ -1,10 +1,12 @@
 """Sharding by sampled splitters: near-equal bytes, equal texts side by side.
 
-Records are ordered by (hash of the text, id).  A size-weighted sample of the
+Records are ordered by (hash of the text, id, row number), so that no two have
+one key, however many rows are equal.  A size-weighted sample of the
 keys gives splitters at its quantiles; records are dealt into those ranges,
 the exact bytes of each range are counted, and a running sum inside a range
 (never over more than a range) gives every record its byte position in the
-whole order.  Shard j takes the positions from ``j/n`` to ``(j+1)/n`` of all
+whole order.  Splitters and the places where ranges begin are tables that are
+broadcast: 40 bytes a range of ROWS_PER_RANGE rows.  Shard j takes the positions from ``j/n`` to ``(j+1)/n`` of all
 bytes.  A boundary that falls into a group of equal texts moves to the group's
 nearer edge when that shifts at most ``slack`` of a shard; otherwise the group
 is cut there, so a text that holds a third of all rows spreads over as many
@@ -18,9 +20,8 @@ own; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ._common import materialize, table
@@ -32,7 +33,7 @@ SAMPLES_PER_RANGE = 8
 #: a boundary moves by at most this share of a shard to keep equal texts together
 SLACK = 0.02
 OVERFULL = 4.0
-KEY = ("key", "tie", "pick")
+KEY = ("key", "tie", "pick", "rid")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,6 +46,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.xxhash64(text).alias("key"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("tie"),
         F.xxhash64(F.lit("sample"), F.col(id_col), text).alias("pick"),
+        F.monotonically_increasing_id().alias("rid"),
     )
 
 
@@ -53,9 +55,9 @@ def draw(rows: DataFrame, expected: float, total: int, round_: int) -> list[tupl
 
     Its expected length is ``expected``, a parameter and not a share of the input.
     """
-    unit = (F.pmod(F.xxhash64(F.lit(round_), "pick"), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
+    unit = (F.pmod(F.xxhash64(F.lit(round_), "pick", "rid"), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
     sample = rows.where(unit * F.lit(float(max(total, 1))) < F.col("size") * F.lit(float(expected)))
-    return sorted((r.key, r.tie, r.pick) for r in sample.select(*KEY).collect())
+    return sorted(tuple(r) for r in sample.select(*KEY).collect())
 
 
 def quantiles(sample: list[tuple], n: int) -> list[tuple]:
@@ -65,22 +67,26 @@ def quantiles(sample: list[tuple], n: int) -> list[tuple]:
     return sorted({sample[min(len(sample) - 1, i * len(sample) // n)] for i in range(1, n)})
 
 
-def range_of(splitters: list[tuple]) -> Column:
-    """How many splitters are at or below the key: a binary search in the JVM."""
+SPLITTERS = "array<struct<" + ",".join(f"{c}:long" for c in KEY) + ">>"
+
+
+def ranged(rows: DataFrame, splitters: list[tuple]) -> DataFrame:
+    """The rows with ``range``, how many splitters are at or below their key: a binary search in
+    the JVM over a broadcast row."""
     if not splitters:
-        return F.lit(0)
-    kind = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in KEY]))
-    listed = F.from_json(F.lit("[" + ",".join(f'{{"key":{a},"tie":{b},"pick":{c}}}' for a, b, c in splitters) + "]"), kind)
+        return rows.withColumn("range", F.lit(0))
     n, step, steps = len(splitters), 1, []
     while step <= n:
         steps.insert(0, step)
         step *= 2
+    table = rows.sparkSession.createDataFrame([(splitters,)], f"__s {SPLITTERS}")
     key = F.struct(*(F.col(c) for c in KEY))
-    return F.aggregate(
+    found = F.aggregate(
         F.array(*(F.lit(s) for s in steps)),
         F.lit(0),
-        lambda lo, s: F.when((lo + s <= n) & (F.element_at(listed, F.least(lo + s, F.lit(n))) <= key), lo + s).otherwise(lo),
+        lambda lo, s: F.when((lo + s <= n) & (F.element_at("__s", F.least(lo + s, F.lit(n))) <= key), lo + s).otherwise(lo),
     )
+    return rows.join(F.broadcast(table)).withColumn("range", found).drop("__s")  # one row
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,31 +97,30 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     splitters = quantiles(draw(rows, ranges * SAMPLES_PER_RANGE, total, 0), ranges)
     counted: list = []
     for again in range(1, 5):
-        counted = rows.groupBy(range_of(splitters).alias("range")).agg(F.sum("size").alias("b"), F.count("*").alias("c")).collect()
+        counted = ranged(rows, splitters).groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("c")).collect()
         overfull = [r.range for r in counted if r.b > OVERFULL * total / ranges and r.c > 64]
         if not overfull:
             break
-        inside = rows.where(range_of(splitters).isin(overfull))
+        only = rows.sparkSession.createDataFrame([(r,) for r in overfull], "range int")
+        inside = ranged(rows, splitters).join(F.broadcast(only), "range", "left_semi")
         bytes_inside = sum(r.b for r in counted if r.range in set(overfull))
         finer = draw(inside, SAMPLES_PER_RANGE * ranges * bytes_inside / total, bytes_inside, again)
         more = quantiles(finer, max(2, int(ranges * bytes_inside / total) + 1))
         if not set(more) - set(splitters):
             break
         splitters = sorted({*splitters, *more})
-    bytes_before, rows_before, b, c = {}, {}, 0, 0
+    begins, b, c = [], 0, 0
     for r in sorted(counted, key=lambda r: r.range):
-        bytes_before[r.range], rows_before[r.range] = b, c
+        begins.append((r.range, b, c))
         b, c = b + r.b, c + r.c
-
-    def before(held: dict) -> Column:
-        return F.element_at(F.array(*(F.lit(held.get(i, 0)).cast("long") for i in range(len(splitters) + 1))), F.col("range") + 1)
-
+    begins = rows.sparkSession.createDataFrame(begins, "range int, bytes_before long, rows_before long")
     inside = Window.partitionBy("range").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0)
     placed = materialize(
-        rows.withColumn("range", range_of(splitters))
+        ranged(rows, splitters)
         .withColumn("below", F.sum("size").over(inside) - F.col("size"))
         .withColumn("nth", F.count("*").over(inside) - 1)
-        .select("doc_id", "size", "text_crc32", "key", (before(bytes_before) + F.col("below")).alias("pos"), (before(rows_before) + F.col("nth")).alias("idx")),
+        .join(F.broadcast(begins), "range")
+        .select("doc_id", "size", "text_crc32", "key", (F.col("bytes_before") + F.col("below")).alias("pos"), (F.col("rows_before") + F.col("nth")).alias("idx")),
         "shard-places",
     )
     cuts = boundaries(placed, shards, total)
