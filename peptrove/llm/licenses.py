@@ -1,13 +1,16 @@
 """Licence scan by a positional index of rare template words, in DataFrame functions only.
 
 One pass counts in how many documents each word of the licence templates
-occurs.  Every template is indexed by its words of highest IDF: a posting is
-(word, template, position in the template).  A file's words that are in the
-index give, for each posting, the place where the template would start; the
-postings that agree on a place are intersected there, after the template's
-mandatory phrases have been verified word by word at that place.  The score
-of a template is the IDF weight of its postings that agree, as a share of all
-its indexed weight, at the file's best place.
+occurs.  A template is indexed by its words of highest IDF, ``RARE`` of them and
+all that are as rare as the last: a posting is (word, template, position in the
+template, weight).  A file's licence words of highest IDF, all that have
+postings, are looked up; each posting gives the place where its template would
+start in the file, and the postings that agree on a place are intersected
+there, after the template's mandatory phrases have been verified word by word
+at their positions.  The score of a template is the IDF weight of its postings
+that agree, as a share of all its indexed weight, at the file's best place; from
+``LEAST`` on its label holds.  Templates are whole licence texts or notices and
+the short forms that people write; a label may have several.
 
 Everything happens inside a row, so nothing but the bounded counts (one row a
 template word) is shuffled or sent to the driver, and a text that repeats a
@@ -32,25 +35,113 @@ from ._common import table
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: phrase -> label, looked for everywhere
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: (label, notice, mandatory phrases); public licence notices as words
+WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+
+
+def plain_words(text: str) -> list[str]:
+    """The words of a text, A-Z lower-cased (on the driver)."""
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+# Public licence texts and notices (label, text, mandatory phrases).
 TEMPLATES = [
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ["general public license version 3"]),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", ["general public license version 2"]),
-    ("lgpl", "under the terms of the gnu lesser general public license", ["lesser general public license"]),
-    ("agpl-3.0", "gnu affero general public license version 3", ["affero general public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
-    ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute this software"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
-]
-#: indexed words of a template
-RARE = 6
+    ("mit", "released under the MIT License", ["MIT License"]),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+        copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+        and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF
+        ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+        EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        ["Permission is hereby granted, free of charge", "The above copyright notice and this permission notice shall be included"],
+    ),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["Permission is hereby granted, free of charge"]),
+    ("apache-2.0", "licensed under the Apache License, Version 2.0", ["Apache License, Version 2.0"]),
+    (
+        "apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of
+        the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License
+        is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License.""",
+        ["Apache License, Version 2.0", "Unless required by applicable law or agreed to in writing"],
+    ),
+    ("gpl-3.0", "licensed under the GNU General Public License version 3", ["General Public License version 3"]),
+    (
+        "gpl-3.0",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free
+        Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be
+        useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+        ["GNU General Public License as published by", "either version 3 of the License"],
+    ),
+    ("gpl-2.0", "licensed under the GNU General Public License version 2", ["General Public License version 2"]),
+    (
+        "gpl-2.0",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free
+        Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+        ["GNU General Public License as published by", "either version 2 of the License"],
+    ),
+    ("lgpl", "under the terms of the GNU Lesser General Public License", ["Lesser General Public License"]),
+    ("agpl-3.0", "GNU Affero General Public License version 3", ["Affero General Public License"]),
+    (
+        "agpl-3.0",
+        """you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either
+        version 3 of the License, or (at your option) any later version.""",
+        ["Affero General Public License"],
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1.
+        Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary
+        form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
+        with the distribution.""",
+        ["Redistribution and use in source and binary forms", "must retain the above copyright notice"],
+    ),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ["Redistribution and use in source and binary forms"]),
+    ("cc-by-4.0", "licensed under CC BY 4.0", ["CC BY 4.0"]),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["Creative Commons Attribution 4.0"]),
+    ("cc-by-nc-4.0", "licensed under CC BY-NC 4.0", ["CC BY-NC 4.0"]),
+    ("cc-by-sa-4.0", "licensed under CC BY-SA 4.0", ["CC BY-SA 4.0"]),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
+    (
+        "mpl-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can
+        obtain one at https://mozilla.org/MPL/2.0/.""",
+        ["Mozilla Public License"],
+    ),
+    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", ["Mozilla Public License"]),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
+        notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
+        SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+        ["Permission to use, copy, modify, and/or distribute this software"],
+    ),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["Permission to use, copy, modify, and/or distribute this software"]),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+        software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+        ["free and unencumbered software"],
+    ),
+    ("unlicense", "This is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the
+        use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+        redistribute it freely, subject to the following restrictions""",
+        ["without any express or implied warranty", "alter it and redistribute it freely"],
+    ),
+    (
+        "bsl-1.0",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by
+        this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software""",
+        ["any person or organization obtaining a copy", "accompanying documentation covered by this license"],
+    ),
+]
+#: rarest words that a template is indexed by, at least
+RARE = 8
 #: a template's label needs this share of its indexed weight
 LEAST = 0.6
 
@@ -74,13 +165,13 @@ def document_counts(docs: DataFrame, text_col: str, vocabulary: list[str]) -> tu
 
 
 def positional_index(n_docs: int, counts: dict[str, int], templates=TEMPLATES, rare: int = RARE) -> list[dict]:
-    """Postings of the words of highest IDF; their weights add up to 1 in each template."""
+    """Postings of the words of highest IDF, ties with the last included; their weights add up to 1 in each template."""
     out = []
-    for t, (_, notice, _) in enumerate(templates):
-        own = notice.split()
+    for t, (_, text, _) in enumerate(templates):
+        own = plain_words(text)
         idf = {w: math.log((n_docs + 1) / (counts.get(w, 0) + 1)) + 1e-6 for w in own}
-        best = sorted(idf, key=lambda w: (-idf[w], w))[:rare]
-        places = [(w, q) for q, w in enumerate(own) if w in best]
+        cut = sorted(idf.values(), reverse=True)[: max(1, rare)][-1]
+        places = [(w, q) for q, w in enumerate(own) if idf[w] >= cut]
         total = sum(idf[w] for w, _ in places)
         out += [{"w": w, "t": t, "q": q, "x": idf[w] / total} for w, q in places]
     return out
@@ -89,10 +180,10 @@ def positional_index(n_docs: int, counts: dict[str, int], templates=TEMPLATES, r
 def phrase_places(templates=TEMPLATES) -> list[list[dict]]:
     """For each template its mandatory phrases and where they stand in it."""
     out = []
-    for _, notice, phrases in templates:
-        own, held = notice.split(), []
+    for _, text, phrases in templates:
+        own, held = plain_words(text), []
         for p in phrases:
-            w = p.split()
+            w = plain_words(p)
             at = next(i for i in range(len(own)) if own[i : i + len(w)] == w)
             held.append({"at": at, "p": w})
         out.append(held)
@@ -130,19 +221,23 @@ def base_places(words: Column, low: Column) -> Column:
 
 def template_scores(words: Column, index: list[dict], templates=TEMPLATES) -> Column:
     """For each template the best share of its weight that agrees on one place."""
-    postings = literal(index, "array<struct<w:string,t:int,q:int,x:double>>")
+    by_word: dict[str, list[dict]] = {}
+    for p in index:
+        by_word.setdefault(p["w"], []).append({k: p[k] for k in "tqx"})
+    postings = literal(by_word, "map<string,array<struct<t:int,q:int,x:double>>>")
     indexed = F.array(*(F.lit(w) for w in sorted({p["w"] for p in index})))
     phrases = literal(phrase_places(templates), "array<array<struct<at:int,p:array<string>>>>")
     none = F.array_repeat(F.lit(0.0), len(templates))
 
     def hits(i: Column) -> Column:
-        own = F.filter(postings, lambda p: (p["w"] == F.get(words, i)) & (i >= p["q"]))
+        own = F.filter(F.try_element_at(postings, F.get(words, i)), lambda p: i >= p["q"])
         return F.transform(own, lambda p: F.struct(p["t"].alias("t"), (i - p["q"]).alias("o"), p["q"].alias("q"), p["x"].alias("x")))
 
     def verified(h: Column) -> Column:
         return F.forall(F.element_at(phrases, h["t"] + 1), lambda p: F.slice(words, h["o"] + p["at"] + 1, F.size(p["p"])) == p["p"])
 
-    at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(indexed, F.get(words, i)))
+    rare = F.array_intersect(words, indexed)
+    at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(rare, F.get(words, i)))
     agreeing = F.array_sort(F.filter(F.flatten(F.transform(at, hits)), verified))
     start = F.struct(F.lit(-1).alias("t"), F.lit(-1).alias("o"), F.lit(0.0).alias("s"), none.alias("best"))
 
@@ -152,13 +247,12 @@ def template_scores(words: Column, index: list[dict], templates=TEMPLATES) -> Co
         return F.struct(h["t"].alias("t"), h["o"].alias("o"), s.alias("s"), best.alias("best"))
 
     best = F.aggregate(agreeing, start, step, lambda acc: acc["best"])
-    rare = F.array_intersect(words, indexed)
     return F.when((F.size(words) > 0) & (F.size(rare) > 0), best).otherwise(none)
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """Columns ``keep``, n_words, places (struct at, label), templates' scores, labels and score."""
-    vocabulary = sorted({w for _, notice, _ in templates for w in notice.split()})
+    vocabulary = sorted({w for _, text, _ in templates for w in plain_words(text)})
     n_docs, counts = document_counts(docs, text_col, vocabulary)
     index = positional_index(n_docs, counts, templates)
     names = F.array(*(F.lit(t[0]) for t in templates))
@@ -184,6 +278,33 @@ def op5_rare_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brute_force(text: str | None) -> tuple[int, list[tuple[int, str]]]:
     """Words, and places of the base phrases, by comparing at every word (for tests)."""
-    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    own = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", low)
+    own = plain_words(text or "")
     return len(own), [(i, label) for i in range(len(own)) for phrase, label in BASE.items() if own[i : i + len(phrase.split())] == phrase.split()]
+
+
+def brute_scores(texts: list[str | None], templates=TEMPLATES, rare: int = RARE) -> list[list[float]]:
+    """Scores of the templates, laying each of them at every place of every text (for tests)."""
+    words = [plain_words(t or "") for t in texts]
+    idf = lambda w: math.log((len(texts) + 1) / (sum(w in own for own in words) + 1)) + 1e-6
+    out = []
+    weights = []
+    for _, text, _ in templates:
+        own = plain_words(text)
+        known = {w: idf(w) for w in own}
+        cut = sorted(known.values(), reverse=True)[: max(1, rare)][-1]
+        held = [known[w] if known[w] >= cut else 0.0 for w in own]
+        weights.append([x / sum(held) for x in held])
+    for own in words:
+        scores = []
+        for (_, text, phrases), weight in zip(templates, weights, strict=True):
+            wanted, best = plain_words(text), 0.0
+            for o in range(len(own)):
+                whole = True
+                for p in map(plain_words, phrases):
+                    at = next(i for i in range(len(wanted)) if wanted[i : i + len(p)] == p)
+                    whole &= own[o + at : o + at + len(p)] == p
+                if whole:
+                    best = max(best, sum(x for q, x in enumerate(weight) if own[o + q : o + q + 1] == wanted[q : q + 1]))
+            scores.append(best)
+        out.append(scores)
+    return out

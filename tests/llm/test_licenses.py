@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 
 from peptrove.llm import licenses as L
@@ -43,6 +46,35 @@ def test_index_takes_the_rarest_words():
     assert "the" not in mit and sum(p["x"] for p in index if p["t"] == 1) == pytest.approx(1.0)
 
 
+def licensed():
+    """Whole texts, parts of them, several in one file, with words changed, dropped and put in."""
+    rng, out = random.Random(3), list(TEXTS)
+    for _, text, _ in L.TEMPLATES:
+        own = text.split()
+        changed = [rng.choice(["word", w]) if rng.random() < 0.1 else w for w in own]
+        out += [text, "lead words " + " ".join(own[: len(own) // 2]), " ".join(changed), " ".join(own[:9] + ["inserted"] + own[9:]), text + " the and " + rng.choice(L.TEMPLATES)[1], " ".join(w for w in own if rng.random() > 0.05)]
+    return out + ["the software of the license and public use " * 5] * 30
+
+
+def test_method_against_brute_force(spark):
+    """Scores, labels and score of the method, with templates laid at every place."""
+    texts = licensed()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want, n_labels = L.brute_scores(texts), Counter()
+    for r in L.scan(df, ["doc_id"]).collect():
+        assert r.scores == pytest.approx(want[r.doc_id], abs=1e-9)
+        base = L.brute_force(texts[r.doc_id])[1]
+        own = {label for (label, _, _), x in zip(L.TEMPLATES, want[r.doc_id], strict=True) if x >= L.LEAST}
+        assert r.labels == sorted(own | {x for _, x in base}) and r.score == pytest.approx(min(1.0, max([*want[r.doc_id], 0.5 * bool(base)])))
+        n_labels.update(own)
+    assert set(n_labels) == {label for label, _, _ in L.TEMPLATES}
+
+
+def test_whole_licences_are_labelled(spark):
+    df = spark.createDataFrame([(i, "x y " + t + " tail") for i, (_, t, _) in enumerate(L.TEMPLATES)], "doc_id long, text string")
+    assert all(L.TEMPLATES[r.doc_id][0] in r.labels and r.score == pytest.approx(1.0) for r in L.scan(df, ["doc_id"]).collect())
+
+
 def test_odd_rows(spark, odd, nothing):
     assert L.scan(odd, ["doc_id"]).count() == odd.count()
     assert L.scan(nothing, ["doc_id"]).collect() == []
