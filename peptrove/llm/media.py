@@ -8,10 +8,15 @@ descriptor by 40 of its bits, so descriptors that differ elsewhere only meet in
 a join.  A bucket may hold a third of all rows, mostly copies: first every
 member meets its first and last member only, which connects them; then all
 members that are still in different classes meet each other, in blocks of
-bounded size, so no pair that shares a bucket is left out.  Images that meet in two corners or more are compared by all their
-descriptors, and kept as a pair if one similarity transform (from the corners'
-places, scales and directions) explains enough of the nearest matches.  Classes
-are the components of the pairs that are kept.
+bounded size, so no pair that shares a bucket is left out; where that is many
+pairs, it is done in passes, so that disk holds one pass's.  Images that meet in
+two corners or more under about the same turn, scale and shift are compared by
+all their descriptors, and kept as a pair if one similarity transform (from the
+corners' places, scales and directions) explains enough of the nearest matches.
+Classes are the components of the pairs that are kept.
+
+Corners are taken by area, the strongest of each 64 x 64 cell, over an octave
+pyramid that ends where a patch no longer fits.
 
 Images of the same bytes are one node from the start.  Defined cases: null,
 empty and undecodable images, and images without corners, are in a class with
@@ -29,23 +34,27 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, steady, table, with_row_id
+from ._common import lean, materialize, steady, table, with_row_id
 from .components import components
 
-SCALES = 2
-CORNERS = 24
+#: corners of a cell, at full scale, and at others; the cell's side
+CORNERS, COARSE_CORNERS, CELL = 24, 12, 64
 RADIUS, MARGIN = 14, 15
 BITS = 128
-#: Hamming tables and the bits each takes; corners that two images must meet in
-TABLES, TABLE_BITS, MEET = 8, 40, 2
-#: members of a bucket in a chunk
-CHUNK = 512
+#: Hamming tables and the bits each takes
+TABLES, TABLE_BITS = 8, 40
+#: members of a bucket in a chunk; pairs of corners in a pass
+CHUNK, MOST_PAIRS = 512, 16_000_000
+#: directions and pixels that meetings may differ in to count together
+TURN_STEP, SHIFT_STEP = 4, 32
 TURNS = 32
 #: bits that matching descriptors may differ in; pixels a match may be off; matches that agree
 FAR, OFF, AGREE = 28, 4.0, 6
+#: and the share of all matches that they are: of hundreds a few agree by chance
+AGREE_SHARE = 0.15
 SIDE = 64
 
 
@@ -75,7 +84,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
             return x.mean(2).astype(np.float32)
         if data[:8] == b"\x89PNG\r\n\x1a\n":
             return decode_png(data)
-    except (ValueError, zlib.error, IndexError):
+    except (ValueError, TypeError, OverflowError, MemoryError, zlib.error, IndexError):
         return None
     return None
 
@@ -98,7 +107,8 @@ def decode_png(data: bytes) -> np.ndarray | None:
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
     if depth != 8 or interlaced or channels is None:
         return None
-    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * channels)
+    size = h * (1 + w * channels)
+    raw = np.frombuffer(zlib.decompressobj().decompress(packed, size + 1)[: size + 1], np.uint8).reshape(h, 1 + w * channels)
     out = np.zeros((h + 1, w, channels), np.int64)
     for y in range(h):
         line, above = raw[y, 1:].astype(np.int64).reshape(w, channels), out[y]
@@ -155,7 +165,7 @@ def box(x: np.ndarray, r: int) -> np.ndarray:
 def corners(stack: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of a stack of equal-sized images: image numbers, y, x, scale, direction, descriptor bits."""
     found = [[] for _ in range(6)]
-    for scale in range(SCALES):
+    for scale in range(32):
         if scale:
             h, w = stack.shape[1] // 2 * 2, stack.shape[2] // 2 * 2
             stack = stack[:, :h, :w].reshape(len(stack), h // 2, 2, w // 2, 2).mean((2, 4))
@@ -168,14 +178,18 @@ def corners(stack: np.ndarray) -> tuple[np.ndarray, ...]:
         r = a * b - c * c - 0.05 * (a + b) ** 2
         inner = r[:, MARGIN:-MARGIN, MARGIN:-MARGIN]
         top = (inner > 1.0) & np.all([inner >= r[:, MARGIN + dy : h - MARGIN + dy, MARGIN + dx : w - MARGIN + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx], axis=0)
-        strength = np.where(top, inner, 0).reshape(n, -1)
-        keep = max(4, CORNERS >> scale)
-        keep = min(keep, strength.shape[1])
-        best = np.argpartition(-strength, keep - 1, axis=1)[:, :keep]
-        image, at = np.repeat(np.arange(n), keep), best.ravel()
-        real = strength[image, at] > 0
-        image, at = image[real], at[real]
-        y, x = at // inner.shape[2] + MARGIN, at % inner.shape[2] + MARGIN
+        strength, taken = np.where(top, inner, 0), []
+        for cy in range(0, inner.shape[1], CELL):
+            for cx in range(0, inner.shape[2], CELL):
+                cell = strength[:, cy : cy + CELL, cx : cx + CELL]
+                flat = cell.reshape(n, -1)
+                keep = min(COARSE_CORNERS if scale else CORNERS, flat.shape[1])
+                best = np.argpartition(-flat, keep - 1, axis=1)[:, :keep]
+                own, at = np.repeat(np.arange(n), keep), best.ravel()
+                real = flat[own, at] > 0
+                own, at = own[real], at[real]
+                taken.append((own, at // cell.shape[2] + cy + MARGIN, at % cell.shape[2] + cx + MARGIN))
+        image, y, x = (np.concatenate(v) for v in zip(*taken, strict=True))
         patch = smooth[image[:, None], y[:, None] + DISC[:, 0], x[:, None] + DISC[:, 1]]
         angle = np.arctan2(patch @ DISC[:, 0], patch @ DISC[:, 1])
         turn = np.rint(angle / (2 * math.pi / TURNS)).astype(np.int64) % TURNS
@@ -233,7 +247,7 @@ def descriptors(images: DataFrame) -> DataFrame:
                     n, a, b, k = zip(*out, strict=True)
                     yield pa.RecordBatch.from_pydict({"node": pa.array(n, pa.int64()), "at": pa.array(a, pa.list_(pa.int32())), "bits": pa.array(b, pa.binary()), "keys": pa.array(k, pa.list_(pa.int64()))})
 
-    return images.select("node", "image").mapInArrow(run, "node long, at array<int>, bits binary, keys array<long>")
+    return images.select("node", "image").mapInArrow(lean(run), "node long, at array<int>, bits binary, keys array<long>")
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> int:
@@ -255,7 +269,7 @@ def same_picture(at: np.ndarray, bits: np.ndarray, other_at: np.ndarray, other_b
     distance = np.bitwise_count(bits[:, None, :] ^ other_bits[None, :, :]).sum(2)
     near, back = distance.argmin(1), distance.argmin(0)
     i = np.flatnonzero((back[near] == np.arange(len(near))) & (distance[np.arange(len(near)), near] <= far))
-    return len(i) >= least and agreeing(at[i].astype(np.float64), other_at[near[i]].astype(np.float64)) >= least
+    return len(i) >= least and agreeing(at[i].astype(np.float64), other_at[near[i]].astype(np.float64)) >= max(least, AGREE_SHARE * len(i))
 
 
 def consensus(pairs: DataFrame, points: DataFrame, far: int, least: int) -> DataFrame:
@@ -273,43 +287,59 @@ def consensus(pairs: DataFrame, points: DataFrame, far: int, least: int) -> Data
 
     one = points.select(F.col("node").alias("a"), F.col("at").alias("at_a"), F.col("bits").alias("bits_a"))
     two = points.select(F.col("node").alias("b"), F.col("at").alias("at_b"), F.col("bits").alias("bits_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "at_a", "bits_a", "at_b", "bits_b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "at_a", "bits_a", "at_b", "bits_b").mapInArrow(lean(run), "a long, b long")
 
 
 def corner_keys(points: DataFrame) -> DataFrame:
-    """(c, key): a number of each corner, and its keys. The tables hold numbers only."""
-    return points.select("node", F.posexplode("keys").alias("i", "key")).select(((F.col("node") * 64) + F.floor(F.col("i") / TABLES)).alias("c"), "key")
-
-
-def node_of(corner) -> Column:
-    return F.shiftright(corner, 6)
+    """(c, key): node, number, place, scale and direction of each corner, and its keys. The tables hold no descriptors."""
+    corner = F.floor(F.col("j") / TABLES).cast("int")
+    places = [F.get("at", corner * 4 + k).alias(name) for k, name in enumerate(("y", "x", "s", "t"))]
+    return points.select("node", "at", F.posexplode("keys").alias("j", "key")).select(F.struct("node", corner.alias("i"), *places).alias("c"), "key")
 
 
 def often(met: DataFrame) -> DataFrame:
-    """Images (a, b) that meet in MEET corners or more, from rows (c, o) of corners that share a key."""
-    met = met.select(F.least("c", "o").alias("c"), F.greatest("c", "o").alias("o")).distinct().withColumn("a", node_of("c")).withColumn("b", node_of("o"))
-    counts = met.groupBy("a", "b").agg(F.count_distinct("c").alias("n"), F.count_distinct("o").alias("m"))
-    return counts.where((F.col("n") >= MEET) & (F.col("m") >= MEET)).select("a", "b")
+    """Images (a, b) of which two corners or more meet under about one transform, from rows (c, o) of
+    corners of different images that share a key."""
+    first = F.col("c.node") < F.col("o.node")
+    p, q = F.when(first, F.col("c")).otherwise(F.col("o")), F.when(first, F.col("o")).otherwise(F.col("c"))
+    turn = F.pmod(q["t"] - p["t"], F.lit(TURNS))
+    ratio, angle = F.pow(F.lit(2.0), q["s"] - p["s"]), turn * F.lit(2 * math.pi / TURNS)
+    y = q["y"] - ratio * (F.cos(angle) * p["y"] + F.sin(angle) * p["x"])
+    x = q["x"] - ratio * (F.cos(angle) * p["x"] - F.sin(angle) * p["y"])
+    bin_ = lambda v, step: F.floor((v + F.lit(step / 2)) / step)
+    transform = F.hash(q["s"] - p["s"], F.pmod(bin_(turn, TURN_STEP), F.lit(TURNS // TURN_STEP)), bin_(y, SHIFT_STEP), bin_(x, SHIFT_STEP))
+    rows = met.select(p["node"].alias("a"), q["node"].alias("b"), transform.alias("g"), p["i"].alias("c"), q["i"].alias("o"))
+    counts = rows.groupBy("a", "b", "g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("o").alias("o0"), F.max("o").alias("o1"))
+    return counts.where("c0 < c1 and o0 < o1").select("a", "b").distinct()
 
 
 def meetings(points: DataFrame) -> DataFrame:
-    """Images (a, b) that share enough keys, of those that are the first or last of a bucket with any other."""
+    """Images (a, b) that meet, of those that are the first or last of a bucket with any other."""
     parts = corner_keys(points)
-    buckets = parts.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(node_of("low") != node_of("high"))
-    met = parts.join(buckets, "key").select("c", F.explode(F.array("low", "high")).alias("o")).where(node_of("c") != node_of("o"))
+    buckets = parts.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low.node <> high.node")
+    met = parts.join(buckets, "key").select("c", F.explode(F.array("low", "high")).alias("o")).where("c.node <> o.node")
     return often(met)
 
 
-def meetings_between(points: DataFrame, roots: DataFrame) -> DataFrame:
-    """Images (a, b) of different classes (rows node, root) that share enough keys: every two of a bucket, in blocks of two chunks."""
-    parts = corner_keys(points).join(roots.select(F.col("node").alias("__n"), "root"), node_of("c") == F.col("__n")).select("c", "key", "root")
-    mixed = parts.groupBy("key").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    dealt = parts.join(mixed.select("key", "chunks"), "key").withColumn("own", F.pmod(F.xxhash64("c"), "chunks").cast("int"))
+def meetings_between(points: DataFrame, roots: DataFrame) -> list[DataFrame]:
+    """Images (a, b) of different classes (rows node, root) that meet: every two of a bucket, in blocks of
+    two chunks. One frame a pass; a pass takes the blocks of a share of the buckets' chunks."""
+    parts = corner_keys(points).join(roots.select(F.col("node").alias("__n"), "root"), F.col("c.node") == F.col("__n")).select("c", "key", "root")
+    mixed = parts.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    mixed = materialize(mixed.select("key", "n", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int").alias("chunks")), "image-buckets")
+    pairs = mixed.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0
+    passes = max(1, math.ceil(pairs / MOST_PAIRS))
+    dealt = materialize(parts.join(mixed.select("key", "chunks"), "key").withColumn("own", F.pmod(F.xxhash64("c"), "chunks").cast("int")), "image-members")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     one = dealt.select("key", "c", "root", F.col("own").alias("i"), F.explode(F.filter(every, lambda k: k >= F.col("own"))).alias("j"))
     two = dealt.select("key", F.col("c").alias("o"), F.col("root").alias("other"), F.col("own").alias("j"), F.explode(F.filter(every, lambda k: k <= F.col("own"))).alias("i"))
-    met = one.join(two, ["key", "i", "j"]).where((F.col("root") != F.col("other")) & ((F.col("i") < F.col("j")) | (F.col("c") < F.col("o"))))
-    return often(met.select("c", "o"))
+    out = []
+    for k in range(passes):
+        # both corners of a pair lie in the pass of the smaller and the larger image's remainders, so a pair's meetings come together
+        own = lambda c: F.pmod(F.xxhash64(f"{c}.node"), F.lit(passes))
+        met = one.join(two, ["key", "i", "j"]).where((F.col("root") != F.col("other")) & ((F.col("i") < F.col("j")) | (F.col("c") < F.col("o"))))
+        out.append(often(met.where(F.pmod(own("c") + own("o"), F.lit(passes)) == k).select("c", "o")))
+    return out
 
 
 def classes(images: DataFrame, id_col: str, image_col: str = "image", far: int = FAR, least: int = AGREE) -> DataFrame:
@@ -320,11 +350,13 @@ def classes(images: DataFrame, id_col: str, image_col: str = "image", far: int =
     nodes = materialize(sums.groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.count("*").alias("n_same"), F.min("id").alias("least_id")), "image-nodes")
     own = rows.select(F.col("rid").alias("node"), "image").join(nodes.select("node"), "node", "left_semi").where(F.col("image").isNotNull())
     points = materialize(descriptors(own), "corners")
-    links = materialize(consensus(meetings(points), points, far, least), "image-links")
+    links = materialize(consensus(materialize(meetings(points), "image-pairs"), points, far, least), "image-links")
     stars = components(links)
     roots = points.select("node").join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = materialize(roots, "image-roots")
-    stars = components(links.unionByName(consensus(meetings_between(points, roots), points, far, least)))
+    for pairs in meetings_between(points, roots):
+        links = links.unionByName(materialize(consensus(materialize(pairs, "image-pairs"), points, far, least), "image-links"))
+    stars = components(links)
     info = nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     info = materialize(info, "image-classes")
     whole = info.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("n_same").alias("n_class"))
@@ -358,7 +390,7 @@ def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([draw(v) for v in batch.column(1).to_pylist()], pa.binary())], names=[id_col, "image"])
 
-    return vectors.select(F.col(id_col).cast("long").alias(id_col), vector_col).mapInArrow(run, f"{id_col} long, image binary")
+    return vectors.select(F.col(id_col).cast("long").alias(id_col), vector_col).mapInArrow(lean(run), f"{id_col} long, image binary")
 
 
 def op9_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
