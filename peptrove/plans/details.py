@@ -114,10 +114,10 @@ def peptide_detail(r: Roles) -> DataFrame:
     return rows.orderBy(F.desc("intensity"), "search_id", "run", "charge").limit(200).select("search_id", "run", "charge", "engine", F.round("intensity", 2).alias("intensity"), "q")
 
 
-@query("peptide_forms", "SELECT peptide, charge, count(*) AS n, round(max(intensity), 2) AS best, min(q) AS best_q, count(DISTINCT search_id) AS n_searches FROM prec WHERE peptide BETWEEN 40 AND 60 GROUP BY 1, 2")
+@query("peptide_forms", "SELECT peptide, charge, count(*) AS n, round(max(intensity), 2) AS best, min(q) AS best_q, count(DISTINCT search_id) AS n_searches FROM prec GROUP BY 1, 2")
 def peptide_forms(r: Roles) -> DataFrame:
     """L27, L28."""
-    return r.prec.where(F.col("peptide").between(40, 60)).groupBy("peptide", "charge").agg(F.count("*").alias("n"), F.round(F.max("intensity"), 2).alias("best"), F.min("q").alias("best_q"), F.count_distinct("search_id").alias("n_searches"))
+    return r.prec.groupBy("peptide", "charge").agg(F.count("*").alias("n"), F.round(F.max("intensity"), 2).alias("best"), F.min("q").alias("best_q"), F.count_distinct("search_id").alias("n_searches"))
 
 
 @query("protein_coverage_peptides", "SELECT peptide, count(*) AS n_obs, round(sum(intensity), 2) AS intensity FROM prec JOIN pep USING (peptide) WHERE brand = 'Brand#7' GROUP BY peptide ORDER BY n_obs DESC, peptide LIMIT 4000")
@@ -145,13 +145,13 @@ def interference(r: Roles) -> DataFrame:
 
 @query(
     "co_elution",
-    f"""WITH f AS ({FRAGMENTS}), m AS (SELECT a.user_id AS user_id, a.event_id AS t, b.user_id AS partner, abs(a.rt - b.rt) <= 5 AS near FROM f a JOIN f b ON abs(a.mz - b.mz) <= 0.05 AND a.user_id <> b.user_id WHERE a.user_id < 20)
+    f"""WITH f AS ({FRAGMENTS}), m AS (SELECT a.user_id AS user_id, a.event_id AS t, b.user_id AS partner, abs(a.rt - b.rt) <= 5 AS near FROM f a JOIN f b ON abs(a.mz - b.mz) <= 0.05 AND a.user_id <> b.user_id WHERE a.user_id = 7)
         SELECT user_id, partner, count(DISTINCT t) AS n_shared, count(DISTINCT CASE WHEN near THEN t END) AS n_near FROM m GROUP BY 1, 2 ORDER BY n_near DESC, n_shared DESC, user_id, partner LIMIT 40""",
 )
 def co_elution(r: Roles) -> DataFrame:
     """Partners by shared transitions that also elute together."""
     f = fragments(r)
-    a = f.where("user_id < 20").select("user_id", F.col("event_id").alias("t"), F.col("mz").alias("a_mz"), F.col("rt").alias("a_rt"))
+    a = f.where("user_id = 7").select("user_id", F.col("event_id").alias("t"), F.col("mz").alias("a_mz"), F.col("rt").alias("a_rt"))
     b = f.select(F.col("user_id").alias("partner"), F.col("mz").alias("b_mz"), F.col("rt").alias("b_rt"))
     met = J.binned_range_join(a, b, "a_mz", "b_mz", 0.05).where("user_id <> partner")
     g = met.groupBy("user_id", "partner").agg(F.count_distinct("t").alias("n_shared"), F.count_distinct(F.when(F.abs(F.col("a_rt") - F.col("b_rt")) <= 5, F.col("t"))).alias("n_near"))
@@ -206,32 +206,31 @@ def my_data(r: Roles) -> DataFrame:
     return mine.join(done, "search_id", "left").select("search_id", "status", F.coalesce("data_status", F.lit("received")).alias("data_status"))
 
 
-@query("first_organism", "SELECT search_id, min(organism) AS organism FROM prec JOIN runs USING (run) WHERE search_id < 3000 GROUP BY search_id", whole=True)
+@query("first_organism", "SELECT search_id, min(organism) AS organism FROM prec JOIN runs USING (run) GROUP BY search_id")
 def first_organism(r: Roles) -> DataFrame:
     """The deterministic form of a correlated LIMIT 1."""
-    rows = r.only(r.prec, "search_id < 3000").select("search_id", "run").join(small(r.runs.select("run", "organism")), "run")
+    rows = r.prec.select("search_id", "run").join(small(r.runs.select("run", "organism")), "run")
     return J.first_of(rows, "search_id", "organism", "organism")
 
 
 @query(
     "name_link_tiebreak",
-    """WITH c AS (SELECT DISTINCT a.run AS run, b.lab AS lab, a.n = b.n AS same FROM (SELECT run, count(*) AS n, right(CAST(run + 100 AS VARCHAR), 2) AS k FROM prec GROUP BY run) a JOIN (SELECT lab, count(*) AS n, right(CAST(lab + 100 AS VARCHAR), 2) AS k FROM searches WHERE lab < 130 GROUP BY lab) b USING (k))
+    """WITH c AS (SELECT DISTINCT a.run AS run, b.lab AS lab, a.n = b.n AS same FROM (SELECT run, count(*) AS n, right(CAST(run + 100 AS VARCHAR), 2) AS k FROM prec GROUP BY run) a JOIN (SELECT lab, count(*) AS n, right(CAST(lab + 100 AS VARCHAR), 2) AS k FROM searches GROUP BY lab) b USING (k))
        SELECT run, CASE WHEN count(*) = 1 THEN min(lab) WHEN count(*) FILTER (WHERE same) = 1 THEN min(lab) FILTER (WHERE same) END AS lab, count(*) AS n_candidates FROM c GROUP BY run""",
-    whole=True,
 )
 def name_link_tiebreak(r: Roles) -> DataFrame:
     """Linked if unique, or if one candidate has the same count; else left open."""
     a = r.prec.groupBy("run").agg(F.count("*").alias("n_rows"))
-    b = r.only(r.searches, "lab < 130").groupBy("lab").agg(F.count("*").alias("n_found"))
+    b = r.searches.groupBy("lab").agg(F.count("*").alias("n_found"))
     key = lambda c: F.right((F.col(c) + 100).cast("string"), F.lit(2))
     linked = J.link_by_keys(a, b, [key("run")], [key("lab")], "run", "lab", "n_rows", "n_found")
     return linked.where("n_candidates > 0")
 
 
-@query("sample_name_match", "SELECT lab, min(n) AS name FROM labs, (SELECT DISTINCT substr(s_name, 14) AS n FROM supplier WHERE s_suppkey < 20) WHERE contains(lower(lab_name), lower(n)) AND n <> '' GROUP BY lab", whole=True)
+@query("sample_name_match", "SELECT lab, min(n) AS name FROM labs, (SELECT DISTINCT substr(s_name, 14) AS n FROM supplier) WHERE contains(lower(lab_name), lower(n)) AND n <> '' GROUP BY lab")
 def sample_name_match(r: Roles) -> DataFrame:
     """A small list of names against texts."""
-    names = r.only(r.table("supplier"), "s_suppkey < 20").select(F.substring("s_name", 14, 100).alias("name")).distinct()
+    names = r.table("supplier").select(F.substring("s_name", 14, 100).alias("name")).distinct()
     return J.contained_name(r.labs.select("lab", "lab_name"), names, "lab_name", "name").where("name is not null").select("lab", "name")
 
 
@@ -245,26 +244,26 @@ def redacted_view(r: Roles) -> DataFrame:
 
 @query(
     "export_report_proteotypic",
-    """WITH u AS (SELECT name, count(DISTINCT grp) AS k FROM prec JOIN pep USING (peptide) WHERE search_id BETWEEN 100 AND 400 GROUP BY name)
-       SELECT name || CAST(charge AS VARCHAR) AS precursor_id, run, grp, round(coalesce(CASE WHEN decoy THEN NULL ELSE intensity END, rt), 2) AS quantity, k = 1 AS proteotypic FROM prec JOIN pep USING (peptide) JOIN u USING (name) WHERE search_id BETWEEN 100 AND 400""",
+    """WITH u AS (SELECT search_id, name, count(DISTINCT grp) AS k FROM prec JOIN pep USING (peptide) GROUP BY search_id, name)
+       SELECT search_id, name || CAST(charge AS VARCHAR) AS precursor_id, run, grp, round(coalesce(CASE WHEN decoy THEN NULL ELSE intensity END, rt), 2) AS quantity, k = 1 AS proteotypic FROM prec JOIN pep USING (peptide) JOIN u USING (search_id, name)""",
 )
 def export_report_proteotypic(r: Roles) -> DataFrame:
     """A sequence is proteotypic if it maps to one group in the search."""
-    rows = r.prec.where(F.col("search_id").between(100, 400)).join(small(r.pep.select("peptide", "name", "grp")), "peptide")
-    unique = rows.groupBy("name").agg((F.count_distinct("grp") == 1).alias("proteotypic"))
-    return rows.join(unique, "name").select(F.concat("name", F.col("charge").cast("string")).alias("precursor_id"), "run", "grp", F.round(F.coalesce(F.when(~F.col("decoy"), F.col("intensity")), F.col("rt")), 2).alias("quantity"), "proteotypic")
+    rows = r.prec.join(small(r.pep.select("peptide", "name", "grp")), "peptide")
+    unique = rows.groupBy("search_id", "name").agg((F.min("grp") == F.max("grp")).alias("proteotypic"))
+    return rows.join(unique, ["search_id", "name"]).select("search_id", F.concat("name", F.col("charge").cast("string")).alias("precursor_id"), "run", "grp", F.round(F.coalesce(F.when(~F.col("decoy"), F.col("intensity")), F.col("rt")), 2).alias("quantity"), "proteotypic")
 
 
-@query("report_rows", "SELECT search_id, run, charge, round(intensity, 2) AS intensity, coalesce(CAST(im AS VARCHAR), 'none') IS NOT NULL AS kept FROM prec WHERE search_id < 50 AND intensity IS NOT NULL", whole=True)
+@query("report_rows", "SELECT search_id, run, charge, round(intensity, 2) AS intensity, true AS kept FROM prec WHERE intensity IS NOT NULL")
 def report_rows(r: Roles) -> DataFrame:
     """Exported rows have a value."""
-    return r.only(r.prec, "search_id < 50").where(F.col("intensity").isNotNull()).select("search_id", "run", "charge", F.round("intensity", 2).alias("intensity"), F.lit(True).alias("kept"))
+    return r.prec.where(F.col("intensity").isNotNull()).select("search_id", "run", "charge", F.round("intensity", 2).alias("intensity"), F.lit(True).alias("kept"))
 
 
-@query("run_design", "SELECT DISTINCT run, CASE WHEN charge <= 3 THEN 'low' ELSE 'high' END AS condition, charge % 2 AS replicate FROM prec WHERE run < 30", whole=True)
+@query("run_design", "SELECT DISTINCT run, CASE WHEN charge <= 3 THEN 'low' ELSE 'high' END AS condition, charge % 2 AS replicate FROM prec")
 def run_design(r: Roles) -> DataFrame:
     """A15."""
-    return r.only(r.prec, "run < 30").select("run", F.when(F.col("charge") <= 3, "low").otherwise("high").alias("condition"), (F.col("charge") % 2).alias("replicate")).distinct()
+    return r.prec.select("run", F.when(F.col("charge") <= 3, "low").otherwise("high").alias("condition"), (F.col("charge") % 2).alias("replicate")).distinct()
 
 
 @query("organism_filters", "SELECT run, CASE WHEN run % 7 = 0 THEN NULL WHEN run % 7 = 1 THEN organism ELSE organism END AS organism, run % 7 <> 0 AS is_real FROM runs")
@@ -274,10 +273,10 @@ def organism_filters(r: Roles) -> DataFrame:
     return raw.select("run", clean.canonical_organism(F.col("raw")).alias("organism"), clean.real_organism(F.col("raw")).alias("is_real"))
 
 
-@query("clean_values", "SELECT search_id, run, CASE WHEN im > 0.03 AND im < 0.07 THEN im END AS im, CASE WHEN rt > 5 AND rt < 40 THEN rt END AS irt, coalesce(q <= 0.01, false) AS passes FROM prec WHERE search_id < 500", whole=True)
+@query("clean_values", "SELECT search_id, run, CASE WHEN im > 0.03 AND im < 0.07 THEN im END AS im, CASE WHEN rt > 5 AND rt < 40 THEN rt END AS irt, coalesce(q <= 0.01, false) AS passes FROM prec")
 def clean_values(r: Roles) -> DataFrame:
     """C1, C4, C5."""
-    return r.only(r.prec, "search_id < 500").select("search_id", "run", clean.mobility(F.col("im"), 0.03, 0.07).alias("im"), clean.indexed_time(F.col("rt"), 5, 40).alias("irt"), clean.passes_q(F.col("q")).alias("passes"))
+    return r.prec.select("search_id", "run", clean.mobility(F.col("im"), 0.03, 0.07).alias("im"), clean.indexed_time(F.col("rt"), 5, 40).alias("irt"), clean.passes_q(F.col("q")).alias("passes"))
 
 
 @query("contaminant_share", "SELECT grp, count(*) AS n, count(*) FILTER (WHERE contaminant) AS n_contaminant, round(100.0 * count(*) FILTER (WHERE contaminant) / count(*), 1) AS percent FROM prec JOIN pep USING (peptide) GROUP BY grp")

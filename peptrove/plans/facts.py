@@ -69,12 +69,12 @@ def search_total(r: Roles) -> DataFrame:
 
 @query(
     "im_rt_axis_switch",
-    """WITH s AS (SELECT charge, im, rt, count(*) OVER () AS n, count(im) OVER () AS k FROM prec WHERE peptide % 50 = 0)
+    """WITH s AS (SELECT charge, im, rt, count(*) OVER () AS n, count(im) OVER () AS k FROM prec)
        SELECT CASE WHEN 2 * k >= n THEN 'im' ELSE 'rt' END AS axis, charge, CASE WHEN 2 * k >= n THEN im ELSE rt END AS x, count(*) AS n_points FROM s WHERE 2 * k < n OR im IS NOT NULL GROUP BY 1, 2, 3""",
 )
 def im_rt_axis_switch(r: Roles) -> DataFrame:
     """L9, trap 10: one axis for all points, and only the points that have it."""
-    s = r.prec.where("peptide % 50 = 0").select("charge", "im", "rt")
+    s = r.prec.select("charge", "im", "rt")
     ratio = s.agg((2 * F.count("im") >= F.count("*")).alias("by_im"))
     axis = s.join(F.broadcast(ratio)).where(~F.col("by_im") | F.col("im").isNotNull())  # one row
     return axis.groupBy(F.when(F.col("by_im"), "im").otherwise("rt").alias("axis"), "charge", F.when(F.col("by_im"), F.col("im")).otherwise(F.col("rt")).alias("x")).agg(F.count("*").alias("n_points"))
@@ -241,12 +241,11 @@ def proteins_vs_groups(r: Roles) -> DataFrame:
 @query(
     "search_runs_coalesce",
     """SELECT s.search_id, s.run, coalesce(CASE WHEN s.search_id % 2 = 0 THEN NULL ELSE s.n END, c.n_computed) AS n_proteins, runs.organism FROM (SELECT search_id, run, count(*) AS n FROM prec GROUP BY 1, 2) s
-       JOIN (SELECT search_id, run, count(DISTINCT peptide) AS n_computed FROM prec GROUP BY 1, 2) c USING (search_id, run) LEFT JOIN runs USING (run) WHERE s.search_id < 2000""",
-    whole=True,
+       JOIN (SELECT search_id, run, count(DISTINCT peptide) AS n_computed FROM prec GROUP BY 1, 2) c USING (search_id, run) LEFT JOIN runs USING (run)""",
 )
 def search_runs_coalesce(r: Roles) -> DataFrame:
     """The stored count, else the computed one, which is aggregated before it is joined."""
-    p = r.only(r.prec, "search_id < 2000")
+    p = r.prec
     stored = p.groupBy("search_id", "run").agg(F.count("*").alias("n")).withColumn("stored", F.when(F.col("search_id") % 2 != 0, F.col("n")))
     computed = p.groupBy("search_id", "run").agg(F.count_distinct("peptide").alias("n_computed"))
     return stored.join(computed, ["search_id", "run"], "left").join(small(r.runs.select("run", "organism")), "run", "left").select("search_id", "run", F.coalesce("stored", "n_computed").alias("n_proteins"), "organism")

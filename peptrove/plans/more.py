@@ -80,10 +80,24 @@ def platforms(r: Roles) -> DataFrame:
     return out.withColumn("acquisition", clean.acquisition(F.col("platform")))
 
 
-@query("organism_shapes", "SELECT organism, false AS binomial, false AS narrative FROM runs GROUP BY organism")
+SHAPES = """SELECT DISTINCT CASE peptide % 6 WHEN 0 THEN genus WHEN 1 THEN genus || ' (strain ' || CAST(size AS VARCHAR) || ')' WHEN 2 THEN genus || ' Expressed in yeast' WHEN 3 THEN genus || ' of a quite large kind'
+    WHEN 4 THEN upper(name) ELSE genus || ' cell line' END AS organism FROM (SELECT peptide, size, name, upper(left(name, 1)) || substr(name, 2) AS genus FROM pep)"""
+
+
+@query(
+    "organism_shapes",
+    f"""SELECT organism, regexp_full_match(trim(organism), '[A-Z][a-z]+ [a-z]+(\\s*\\([^)]*\\))?') AS binomial,
+        len(regexp_split_to_array(trim(organism), '\\s+')) > 4 OR regexp_matches(lower(organism), '{"|".join(text.CONSTRUCT_WORDS)}') AS narrative FROM ({SHAPES})""".replace("\\\\", "\\"),
+)
 def organism_shapes(r: Roles) -> DataFrame:
-    """SF17."""
-    return r.runs.select("organism").distinct().select("organism", text.is_binomial(F.col("organism")).alias("binomial"), text.is_narrative(F.col("organism")).alias("narrative"))
+    """SF17: species names, strains, descriptions of constructs and sentences."""
+    p = r.pep.withColumn("genus", F.concat(F.upper(F.left("name", F.lit(1))), F.substring("name", 2, 1000)))
+    kind, genus = F.col("peptide") % 6, F.col("genus")
+    shaped = (
+        F.when(kind == 0, genus).when(kind == 1, F.concat(genus, F.lit(" (strain "), F.col("size").cast("string"), F.lit(")"))).when(kind == 2, F.concat(genus, F.lit(" Expressed in yeast")))
+        .when(kind == 3, F.concat(genus, F.lit(" of a quite large kind"))).when(kind == 4, F.upper("name")).otherwise(F.concat(genus, F.lit(" cell line")))
+    )
+    return p.select(shaped.alias("organism")).distinct().select("organism", text.is_binomial(F.col("organism")).alias("binomial"), text.is_narrative(F.col("organism")).alias("narrative"))
 
 
 @query("json_lists", "SELECT user_id, count(*) AS n, min(value) AS least FROM events GROUP BY user_id")

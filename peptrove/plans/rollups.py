@@ -34,10 +34,13 @@ def corpus_stats(r: Roles) -> DataFrame:
        FROM prec GROUP BY peptide ORDER BY n_runs DESC, n_obs DESC, peptide LIMIT 100""",
 )
 def top_peptides(r: Roles) -> DataFrame:
-    """M2, L17."""
-    g = r.prec.groupBy("peptide").agg(
-        F.count_distinct("run").alias("n_runs"), F.count("*").alias("n_obs"), F.count_distinct("search_id").alias("n_searches"), F.count_distinct("charge").alias("n_charges"), F.bool_or("contaminant").alias("any_contaminant"), F.round(F.max("intensity"), 2).alias("best")
+    """Counted in two phases, so no row is expanded; of charges there are a few."""
+    runs = r.prec.groupBy("peptide", "run").agg(F.count("*").alias("n"), F.collect_set("charge").alias("charges"), F.bool_or("contaminant").alias("c"), F.max("intensity").alias("best"))
+    g = runs.groupBy("peptide").agg(
+        F.count("run").alias("n_runs"), F.sum("n").alias("n_obs"), F.size(F.array_distinct(F.flatten(F.collect_set("charges")))).cast("long").alias("n_charges"), F.bool_or("c").alias("any_contaminant"), F.round(F.max("best"), 2).alias("best")
     )
+    searches = r.prec.select("peptide", "search_id").distinct().groupBy("peptide").agg(F.count("search_id").alias("n_searches"))
+    g = g.join(searches, "peptide").select("peptide", "n_runs", "n_obs", "n_searches", "n_charges", "any_contaminant", "best")
     return g.orderBy(F.desc("n_runs"), F.desc("n_obs"), "peptide").limit(100)
 
 
@@ -64,10 +67,12 @@ def top_genes(r: Roles) -> DataFrame:
 
 
 def species_rows(r: Roles) -> DataFrame:
+    """Counted in two phases: runs and searches are distinct pairs, so no row is expanded."""
     rows = r.prec.join(small(r.pep.select("peptide", "grp")), "peptide").join(small(r.runs.select("run", "organism")), "run")
-    return rows.groupBy("organism", "grp").agg(
-        F.count_distinct("run").alias("n_runs"), F.count_distinct("search_id").alias("n_searches"), F.count("*").alias("n_precursors"), F.sum("intensity").alias("intensity"), F.min("q").alias("best_q"), F.bool_or("contaminant").alias("is_contaminant")
-    )
+    per = rows.groupBy("organism", "grp", "run").agg(F.count("*").alias("n"), F.sum("intensity").alias("i"), F.min("q").alias("q"), F.bool_or("contaminant").alias("c"))
+    runs = per.groupBy("organism", "grp").agg(F.count("run").alias("n_runs"), F.sum("n").alias("n_precursors"), F.sum("i").alias("intensity"), F.min("q").alias("best_q"), F.bool_or("c").alias("is_contaminant"))
+    searches = rows.select("organism", "grp", "search_id").distinct().groupBy("organism", "grp").agg(F.count("search_id").alias("n_searches"))
+    return runs.join(searches, ["organism", "grp"]).select("organism", "grp", "n_runs", "n_searches", "n_precursors", "intensity", "best_q", "is_contaminant")
 
 
 SPECIES_SQL = """SELECT organism, grp, count(DISTINCT run) AS n_runs, count(DISTINCT search_id) AS n_searches, count(*) AS n_precursors, sum(intensity) AS intensity, min(q) AS best_q, bool_or(contaminant) AS is_contaminant

@@ -15,15 +15,18 @@ from ..operators import stats as S
 from ..operators.joins import small
 from .roles import Roles, query
 
-SEQ = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
+#: letter runs of the whole texts, with their place in the text
+RUNS_SQL = "SELECT doc_id, unnest(range(len(w))) AS pos, upper(unnest(w)) AS seq FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents)"
 
 
-def sequences(r: Roles, length: int = 30) -> DataFrame:
-    """Stand-ins for sequences: the first letters of documents as in the SQL, or, for the whole job, every letter run of the texts."""
-    d = r.table("documents")
-    if r.whole:
-        return d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("pos", "seq")).withColumn("seq", F.upper("seq"))
-    return d.select("doc_id", F.upper(F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, length)).alias("seq")).where("seq <> ''")
+def sequences(r: Roles) -> DataFrame:
+    """Stand-ins for sequences: every letter run of the whole texts, one row each."""
+    return r.table("documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("pos", "seq")).withColumn("pos", F.col("pos").cast("long")).withColumn("seq", F.upper("seq"))
+
+
+def different(r: Roles) -> DataFrame:
+    """Each different sequence once, with the number of rows that have it."""
+    return sequences(r).groupBy("seq").agg(F.count("*").alias("n_rows"))
 
 
 def each_sequence(rows: DataFrame, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -33,31 +36,28 @@ def each_sequence(rows: DataFrame, plan: Callable[[DataFrame], DataFrame]) -> Da
 
 @query(
     "word_hunt",
-    f"""WITH s AS (SELECT doc_id, substr({SEQ}, 1, 30) AS seq FROM documents), w AS (SELECT DISTINCT upper(part) AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS part FROM part) WHERE length(part) BETWEEN 3 AND 6)
-        SELECT word, count(*) AS n_peptides, min(seq) AS example FROM s JOIN w ON contains(s.seq, w.word) GROUP BY word""",
-    whole=True,
+    f"""WITH s AS (SELECT seq, count(*) AS n FROM ({RUNS_SQL}) GROUP BY seq), w AS (SELECT DISTINCT upper(part) AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS part FROM part) WHERE length(part) BETWEEN 3 AND 6)
+        SELECT word, CAST(sum(n) AS BIGINT) AS n_peptides, min(seq) AS example FROM s JOIN w ON contains(s.seq, w.word) GROUP BY word""",
 )
 def word_hunt(r: Roles) -> DataFrame:
     """Substrings meet the dictionary in a join, once a sequence."""
     words = r.table("part").select(F.explode(F.split(F.upper("p_name"), " ")).alias("word")).where(F.length("word").between(3, 6)).distinct()
-    different = sequences(r).groupBy("seq").agg(F.count("*").alias("n"))
-    hits = R.word_hits(different, "n", "seq", small(words), "word", 3, 6)
-    return hits.groupBy("word").agg(F.sum("n").alias("n_peptides"), F.min("seq").alias("example"))
+    hits = R.word_hits(different(r), "n_rows", "seq", small(words), "word", 3, 6)
+    return hits.groupBy("word").agg(F.sum("n_rows").alias("n_peptides"), F.min("seq").alias("example"))
 
 
 @query(
     "coverage_pct",
-    f"""WITH s AS (SELECT doc_id, substr({SEQ}, 1, 120) AS seq FROM documents WHERE doc_id < 100), p AS (SELECT unnest(['THE', 'ION', 'AND', 'ER', 'THTH']) AS pep),
-        i AS (SELECT doc_id, k + length(pep) - 1 AS e, k AS b FROM (SELECT doc_id, replace(seq, 'I', 'L') AS seq, replace(pep, 'I', 'L') AS pep, unnest(range(1, 121)) AS k FROM s, p) WHERE substr(seq, k, length(pep)) = pep),
-        c AS (SELECT doc_id, count(DISTINCT x) AS covered FROM (SELECT doc_id, unnest(range(b, e + 1)) AS x FROM i) GROUP BY doc_id)
-        SELECT doc_id, length(seq) AS length, coalesce(covered, 0) AS covered, round(100.0 * coalesce(covered, 0) / length(seq), 2) AS percent FROM s LEFT JOIN c USING (doc_id) WHERE seq <> ''""",
-    whole=True,
+    f"""WITH r AS ({RUNS_SQL}), s AS (SELECT DISTINCT seq FROM r), p AS (SELECT unnest(['THE', 'ION', 'AND', 'ER', 'THTH']) AS pep),
+        i AS (SELECT seq, k AS b, k + length(pep) - 1 AS e FROM (SELECT seq, pep, unnest(range(1, length(seq) + 1)) AS k FROM s, p WHERE contains(replace(seq, 'I', 'L'), replace(pep, 'I', 'L'))) WHERE substr(replace(seq, 'I', 'L'), k, length(pep)) = replace(pep, 'I', 'L')),
+        c AS (SELECT seq, count(DISTINCT x) AS covered FROM (SELECT seq, unnest(range(b, e + 1)) AS x FROM i) GROUP BY seq)
+        SELECT doc_id, pos, length(seq) AS length, coalesce(covered, 0) AS covered, round(100.0 * coalesce(covered, 0) / length(seq), 2) AS percent FROM r LEFT JOIN c USING (seq)""",
 )
 def coverage_pct(r: Roles) -> DataFrame:
     """I and L count as one."""
     parts = r.spark.createDataFrame([(p,) for p in ("THE", "ION", "AND", "ER", "THTH")], "pep string")
     covered = lambda s: R.coverage(s.join(F.broadcast(parts)), ["seq"], "seq", "pep")  # noqa: E731  five rows
-    return each_sequence(r.only(sequences(r, 120), "doc_id < 100"), covered).withColumn("length", F.col("length").cast("long")).drop("n_placed")
+    return each_sequence(sequences(r), covered).withColumn("length", F.col("length").cast("long")).drop("n_placed")
 
 
 RESIDUES_SQL = "CASE c " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in chem.RESIDUES.items()) + " END"
@@ -65,64 +65,59 @@ RESIDUES_SQL = "CASE c " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k
 
 @query(
     "b_y_ions",
-    f"""WITH s AS (SELECT doc_id, substr({SEQ}, 1, 12) AS seq FROM documents WHERE doc_id < 200), a AS (SELECT doc_id, i, {RESIDUES_SQL} + CASE WHEN c = 'C' THEN CAST(57.02146 AS DOUBLE) ELSE 0 END AS m FROM (SELECT doc_id, i, substr(seq, i, 1) AS c FROM (SELECT doc_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM s)) WHERE {RESIDUES_SQL} IS NOT NULL),
-        b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, m, count(*) OVER (PARTITION BY doc_id) AS n FROM a),
-        t AS (SELECT doc_id, 'b' AS type, i, sum(m) OVER (PARTITION BY doc_id ORDER BY i) AS m, n FROM b UNION ALL SELECT doc_id, 'y', n - i + 1, sum(m) OVER (PARTITION BY doc_id ORDER BY i DESC) + CAST(18.0105646 AS DOUBLE), n FROM b)
-        SELECT doc_id, type || CAST(i AS VARCHAR) AS ion, z AS charge, round(round((m + z * CAST(1.0072765 AS DOUBLE)) / z, 5), 3) AS mz FROM t, (SELECT unnest([1, 2]) AS z) WHERE i < n""",
-    whole=True,
+    f"""WITH s AS (SELECT seq, count(*) AS n_rows FROM ({RUNS_SQL}) GROUP BY seq), a AS (SELECT seq, n_rows, i, {RESIDUES_SQL} + CASE WHEN c = 'C' THEN CAST(57.02146 AS DOUBLE) ELSE 0 END AS m FROM (SELECT seq, n_rows, i, substr(seq, i, 1) AS c FROM (SELECT seq, n_rows, unnest(range(1, length(seq) + 1)) AS i FROM s)) WHERE {RESIDUES_SQL} IS NOT NULL),
+        b AS (SELECT seq, n_rows, row_number() OVER (PARTITION BY seq ORDER BY i) AS i, m, count(*) OVER (PARTITION BY seq) AS n FROM a),
+        t AS (SELECT seq, n_rows, 'b' AS type, i, sum(m) OVER (PARTITION BY seq ORDER BY i) AS m, n FROM b UNION ALL SELECT seq, n_rows, 'y', n - i + 1, sum(m) OVER (PARTITION BY seq ORDER BY i DESC) + CAST(18.0105646 AS DOUBLE), n FROM b)
+        SELECT seq, n_rows, type || CAST(i AS VARCHAR) AS ion, z AS charge, round((m + z * CAST(1.0072765 AS DOUBLE)) / z, 5) AS mz FROM t, (SELECT unnest([1, 2]) AS z) WHERE i < n""",
 )
 def b_y_ions(r: Roles) -> DataFrame:
-    """A generator of ions for each sequence."""
-    ions = lambda s: s.select("seq", F.inline(chem.ladder(F.col("seq"))))
-    return each_sequence(r.only(sequences(r, 12), "doc_id < 200"), ions).withColumn("mz", F.round("mz", 3)).drop("type", "series")
+    """A generator of ions for each different sequence, with the rows that have it."""
+    return different(r).select("seq", "n_rows", F.inline(chem.ladder(F.col("seq")))).drop("type", "series")
 
 
 @query(
     "physchem",
-    f"""WITH s AS (SELECT doc_id, substr({SEQ}, 1, 20) AS seq FROM documents), a AS (SELECT doc_id, seq, {RESIDUES_SQL} AS m FROM (SELECT doc_id, seq, substr(seq, i, 1) AS c FROM (SELECT doc_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM s)))
-        SELECT doc_id, count(m) AS length, round(sum(m) + CAST(18.010565 AS DOUBLE), 4) AS mass, right(min(seq), 1) IN ('K', 'R') AS tryptic, length(min(seq)) - length(replace(min(seq), 'W', '')) AS n_w FROM a GROUP BY doc_id HAVING count(m) > 0""",
-    whole=True,
+    f"""WITH r AS ({RUNS_SQL}), a AS (SELECT seq, {RESIDUES_SQL} AS m FROM (SELECT seq, substr(seq, i, 1) AS c FROM (SELECT seq, unnest(range(1, length(seq) + 1)) AS i FROM (SELECT DISTINCT seq FROM r)))),
+        p AS (SELECT seq, count(m) AS length, round(sum(m) + CAST(18.010565 AS DOUBLE), 4) AS mass FROM a GROUP BY seq HAVING count(m) > 0)
+        SELECT doc_id, pos, length, mass, right(seq, 1) IN ('K', 'R') AS tryptic, length(seq) - length(replace(seq, 'W', '')) AS n_w FROM r JOIN p USING (seq)""",
 )
 def physchem(r: Roles) -> DataFrame:
     """D1."""
     found = lambda s: s.select("seq", chem.physchem(F.col("seq")).alias("p")).where("p is not null")
-    rows = each_sequence(sequences(r, 20), found)
-    return rows.select(*rows.drop("p").columns, F.col("p.length").cast("long").alias("length"), F.col("p.monoisotopic_mass").alias("mass"), "p.tryptic", F.col("p.counts.W").cast("long").alias("n_w"))
+    rows = each_sequence(sequences(r), found)
+    return rows.select("doc_id", "pos", F.col("p.length").cast("long").alias("length"), F.col("p.monoisotopic_mass").alias("mass"), "p.tryptic", F.col("p.counts.W").cast("long").alias("n_w"))
 
 
-@query("sequence_shapes", f"WITH s AS (SELECT doc_id, substr({SEQ}, 1, 6) AS seq FROM documents) SELECT doc_id, seq = reverse(seq) AND length(seq) >= 4 AS palindrome, len(list_distinct(string_split(seq, ''))) <= 4 AND length(seq) >= 6 AS few_letters FROM s WHERE seq <> ''", whole=True)
+@query("sequence_shapes", f"SELECT doc_id, pos, seq = reverse(seq) AND length(seq) >= 4 AS palindrome, len(list_distinct(string_split(seq, ''))) <= 4 AND length(seq) >= 6 AS few_letters FROM ({RUNS_SQL})")
 def sequence_shapes(r: Roles) -> DataFrame:
     """SF13."""
-    rows = sequences(r, 6)
-    return rows.select(*rows.drop("seq").columns, text.is_palindrome(F.col("seq")).alias("palindrome"), text.has_few_letters(F.col("seq")).alias("few_letters"))
+    return sequences(r).select("doc_id", "pos", text.is_palindrome(F.col("seq")).alias("palindrome"), text.has_few_letters(F.col("seq")).alias("few_letters"))
 
 
-@query("fold_unfold_lists", "SELECT user_id, event_id, event_type, round(value, 2) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events WHERE user_id < 15", whole=True)
+@query("fold_unfold_lists", "SELECT user_id, event_id, event_type, round(value, 2) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events")
 def fold_unfold_lists(r: Roles) -> DataFrame:
     """Arrays keep their common order there and back."""
-    folded = R.fold(r.only(r.table("events"), "user_id < 15"), ["user_id"], "event_id", "event_type", "value")
+    folded = R.fold(r.table("events"), ["user_id"], "event_id", "event_type", "value")
     return R.unfold(folded, "event_id", "event_type", "value").select("user_id", "event_id", "event_type", F.round("value", 2).alias("value"), F.col("pos").cast("long").alias("pos"))
 
 
 @query("trace_apex", "SELECT user_id, event_type, count(*) AS n_points, arg_max(event_id, (value, -event_id)) AS apex, max(value) AS top FROM events GROUP BY 1, 2")
 def trace_apex(r: Roles) -> DataFrame:
     """Of equal points the first."""
-    folded = R.fold(r.table("events"), ["user_id", "event_type"], "event_id", "value")
-    return folded.select("user_id", "event_type", F.size("value").cast("long").alias("n_points"), R.apex(F.col("event_id"), F.col("value")).alias("apex"), F.array_max("value").alias("top"))
+    g = r.table("events").groupBy("user_id", "event_type")
+    return g.agg(F.count("*").alias("n_points"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("apex"), F.max("value").alias("top"))
 
 
 @query("strongest_points", "SELECT user_id, event_id, value FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 6")
 def strongest_points(r: Roles) -> DataFrame:
     """J4, H4."""
-    folded = R.fold(r.table("events"), ["user_id"], "event_id", "value")
-    zipped = folded.select("user_id", R.strongest(F.arrays_zip("event_id", F.col("value").alias("intensity")), 6).alias("p"))
-    return zipped.select("user_id", F.inline("p")).withColumnRenamed("intensity", "value")
+    return D.first_n(r.table("events").select("user_id", "event_id", "value"), ["user_id"], 6, F.desc("value"), "event_id")
 
 
-@query("relative_intensity", "SELECT user_id, event_id, round(value / max(value) OVER (PARTITION BY user_id), 6) AS rel FROM events WHERE user_id BETWEEN 20 AND 40", whole=True)
+@query("relative_intensity", "SELECT user_id, event_id, round(value / max(value) OVER (PARTITION BY user_id), 6) AS rel FROM events")
 def relative_intensity(r: Roles) -> DataFrame:
     """J16."""
-    folded = R.fold(r.only(r.table("events"), "user_id between 20 and 40"), ["user_id"], "event_id", "value")
+    folded = R.fold(r.table("events"), ["user_id"], "event_id", "value")
     return R.unfold(folded.select("user_id", "event_id", R.relative(F.col("value")).alias("rel")), "event_id", "rel").select("user_id", "event_id", "rel")
 
 
@@ -133,11 +128,11 @@ def trace_area(r: Roles) -> DataFrame:
     return folded.select("user_id", F.round(R.area(F.col("event_id").cast("array<double>"), F.col("value")), 4).alias("area"))
 
 
-@query("spectrum_correlation", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_aggregate(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)), 'sum'), 4) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 7 = 0", whole=True)
+@query("spectrum_correlation", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_aggregate(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)), 'sum'), 4) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def spectrum_correlation(r: Roles) -> DataFrame:
-    """Products of aligned list columns in the JVM."""
+    """Products of aligned list columns in the JVM."""
     e = r.table("embeddings").select(F.col("vec_id").alias("a"), F.col("embedding").cast("array<double>").alias("x"))
-    met = r.only(e, "a % 7 = 0").join(e.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y")), "a")
+    met = e.join(e.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y")), "a")
     return met.select("a", "b", F.round(F.aggregate(F.zip_with("x", "y", lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v), 4).alias("dot"))
 
 
@@ -237,11 +232,20 @@ def isotonic_residuals(r: Roles) -> DataFrame:
     return A.robust_sd(S.isotonic_residuals(rows, "x", "y", "peptide"), "residual")
 
 
-@query("rate_limit_flags", "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_window FROM events")
+KEPT_SQL = "list_filter(g.q, lambda x: x >= e.t - 259200)"
+
+
+@query(
+    "rate_limit_flags",
+    f"""WITH RECURSIVE e AS (SELECT event_id, user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM (SELECT *, epoch(date_trunc('second', ts)) AS t FROM events)),
+        g AS (SELECT event_id, user_id, k, [t] AS q, true AS allowed FROM e WHERE k = 1
+              UNION ALL SELECT e.event_id, e.user_id, e.k, CASE WHEN len({KEPT_SQL}) < 3 THEN list_append({KEPT_SQL}, e.t) ELSE {KEPT_SQL} END, len({KEPT_SQL}) < 3 FROM g JOIN e ON e.user_id = g.user_id AND e.k = g.k + 1)
+        SELECT event_id, user_id, allowed FROM g""",
+)
 def rate_limit_flags(r: Roles) -> DataFrame:
-    """Requests in the hour before each."""
-    e = r.table("events").withColumn("s", F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))))
-    return A.allowed(e, "user_id", F.col("s"), "event_id", 3, 3600).select("event_id", "user_id", "in_window")
+    """At most three allowed requests in three days."""
+    e = r.table("events").select("event_id", "user_id", F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("s"))
+    return A.allowed(e, "user_id", F.col("s"), "event_id", 3, 259_200).select("event_id", "user_id", "allowed")
 
 
 @query("tumbling_counts", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
