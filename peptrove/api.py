@@ -12,7 +12,7 @@ from .operators import dedup as D
 from .operators.joins import binned_range_join, small
 from .plans.roles import Roles
 
-LEAST_QUERY, MOST_PAGE, MOST_PEAKS = 2, 200, 3000
+LEAST_QUERY, MOST_PAGE, MOST_TRANSITIONS = 2, 200, 12
 
 
 def clamp(value: int | None, default: int, low: int, high: int) -> int:
@@ -90,9 +90,12 @@ class Corpus:
         rows = self.roles.spark.createDataFrame([(protein, p) for p in peptides], "seq string, pep string")
         return R.coverage(rows.withColumn("k", F.lit(1)), ["k"], "seq", "pep").drop("k")
 
-    def interference(self, targets: DataFrame, others: DataFrame, tol: float = 0.01, rt_tol: float = 0.5, top: int = 40) -> DataFrame:
-        """Partners by shared transitions (L30). targets: key, mz, rt; others: partner, other_mz, other_rt."""
-        met = binned_range_join(targets.limit(MOST_PEAKS), others, "mz", "other_mz", tol).where(F.col("key") != F.col("partner"))
-        near = F.abs(F.col("rt") - F.col("other_rt")) <= rt_tol
-        g = met.groupBy("key", "partner").agg(F.count_distinct("mz").alias("n_shared"), F.count_distinct(F.when(near, F.col("mz"))).alias("n_near"))
-        return g.orderBy(F.desc("n_near"), F.desc("n_shared"), "key", "partner").limit(top)
+    def interference(self, targets: DataFrame, others: DataFrame, tol: float = 0.01, rt_tol: float = 0.5, top: int = 40, transitions: int = MOST_TRANSITIONS) -> DataFrame:
+        """Partners by shared transitions (L30), for the first ``transitions`` of each key by m/z, all partners counted.
+        ``complete`` says whether these are all of the key's. targets: key, mz, rt; others: partner, other_mz, other_rt."""
+        first = D.first_n(targets.select("key", "mz", "rt").distinct(), ["key"], transitions, "mz", "rt")
+        size = targets.select("key", "mz", "rt").distinct().groupBy("key").agg((F.count("*") <= transitions).alias("complete"), F.least(F.count("*"), F.lit(transitions)).alias("n_transitions"))
+        met = binned_range_join(first, others, "mz", "other_mz", tol).where(F.col("key") != F.col("partner"))
+        apart = F.abs(F.col("rt") - F.col("other_rt"))
+        g = met.groupBy("key", "partner").agg(F.count_distinct("mz").alias("n_shared"), F.count_distinct(F.when(apart <= rt_tol, F.col("mz"))).alias("n_near"), F.round(F.min(apart), 3).alias("least_apart"))
+        return g.orderBy(F.desc("n_near"), F.desc("n_shared"), "key", "partner").limit(top).join(size, "key")

@@ -24,13 +24,40 @@ PRECURSOR_HEADERS = {
     "irt": ["iRT", "RT.Predicted"], "iim": ["iIM"], "q": ["Q.Value"], "global_q": ["Global.Q.Value"], "pg_q": ["PG.Q.Value"], "intensity": ["Precursor.Quantity"],
     "normalized": ["Precursor.Normalised"], "grp": ["Protein.Group", "Protein.Ids"], "gene": ["Genes"],
 }
-# Patterns of headers of fragment-level reports; underscores count as dots.
+# Patterns of headers of fragment-level reports, in order of preference; underscores count as dots.
 FRAGMENT_PATTERNS = {
-    "run": [r"^R\.FileName$"], "grp": [r"^PG\.ProteinGroups$", r"^PG\.ProteinAccessions$"], "gene": [r"^PG\.Genes$"], "seq": [r"^PEP\.StrippedSequence$"], "modified": [r"^EG\.ModifiedSequence$", r"^FG\.LabeledSequence$"],
-    "charge": [r"^FG\.Charge$"], "q": [r"^EG\.Qvalue$"], "decoy": [r"^EG\.IsDecoy$"], "mz": [r"^FG\.PrecMz", r"^FG\.PrecursorMz"], "rt": [r"^EG\.ApexRT$"], "im": [r"^EG\.IonMobility$", r"^FG\.ApexIonMobility$"], "intensity": [r"^FG\.Quantity$", r"^FG\.MS2RawQuantity$"],
-    "frg_mz": [r"^F\.FrgMz$"], "frg_type": [r"^F\.FrgType$"], "frg_num": [r"^F\.FrgNum$"], "frg_z": [r"^F\.FrgZ$"], "frg_loss": [r"^F\.FrgLossType$"], "frg_area": [r"^F\.PeakArea$"], "frg_excluded": [r"^F\.ExcludedFromQuantification$"],
-}
-FRAGMENT_FIELDS = ["frg_mz", "frg_type", "frg_num", "frg_z", "frg_loss", "frg_area", "frg_excluded"]
+    "run": [r"^R\.FileName$", r"^R\.Raw ?File ?Name$", r"^R\.Replicate$", r"^R\."],
+    "grp": [r"^PG\.ProteinGroups$", r"^PG\.ProteinAccessions$", r"ProteinGroups?$", r"^Group$"],
+    "gene": [r"^PG\.Genes$", r"Genes?$"],
+    "organism": [r"^PEP\.AllOccurringOrganisms$", r"AllOccurringOrganisms$", r"^PG\.Organisms$", r"Organisms?$"],
+    "pg_q": [r"^PG\.Qvalue$", r"PG.*Qvalue"],
+    "seq": [r"^PEP\.StrippedSequence$", r"StrippedSequence$"],
+    "modified": [r"^EG\.ModifiedSequence$", r"^EG\.ModifiedPeptide$", r"ModifiedSequence$", r"^EG\.PrecursorId$", r"^FG\.LabeledSequence$"],
+    "charge": [r"^FG\.Charge$", r"Charge$"],
+    "q": [r"^EG\.Qvalue$", r"EG.*Qvalue"],
+    "decoy": [r"^EG\.IsDecoy$", r"IsDecoy$"],
+    "mz": [r"^FG\.PrecMz$", r"^EG\.PrecursorMz$", r"PrecMz$", r"PrecursorMz$"],
+    "rt": [r"^EG\.ApexRT$", r"^EG\.MeanApexRT$", r"^EG\.RTEmpirical$", r"ApexRT$"],
+    "irt": [r"^EG\.iRT$", r"^EG\.IRTEmpirical$", r"^EG\.RTPredicted$", r"\biRT\b"],
+    "im": [r"^EG\.IonMobility$", r"^EG\.ApexIonMobility$", r"^FG\.ApexIonMobility$", r"IonMobility$"],
+    "ccs": [r"^EG\.CCS$", r"\bCCS\b"],
+    "intensity": [r"^FG\.Quantity$", r"^FG\.MS2Quantity$", r"^EG\.TotalQuantity.*$", r"^FG\.MS2RawQuantity$", r"Quantity$"],
+    "normalized": [r"^FG\.Normalized.*(MS2|PeakArea|Quantity)", r"^EG\.Normalized.*(Quantity|Intensity)"],
+    "pep": [r"^EG\.PEP$", r"PosteriorErrorProbability"],
+    "instrument": [r"^R\.Instrument", r"Instrument"],
+    "collision_energy": [r"CollisionEnergy", r"\bNCE\b", r"^FG\.CollisionEnergy"],
+    "frg_mz": [r"^F\.FrgMz$", r"FrgMz$"],
+    "frg_type": [r"^F\.FrgType$", r"FrgType$"],
+    "frg_num": [r"^F\.FrgNum$", r"FrgNum$"],
+    "frg_z": [r"^F\.FrgZ$", r"^F\.FrgCharge$", r"^F\.Charge$", r"FrgZ$"],
+    "frg_loss": [r"^F\.FrgLossType$", r"FrgLossType$"],
+    "frg_area": [r"^F\.PeakArea$", r"^F\.NormalizedPeakArea$", r"^F\.MeasuredRelativeIntensity$", r"PeakArea$"],
+    "frg_ion": [r"^F\.FrgIon$", r"FrgIon$"],
+    "frg_measured": [r"^F\.MeasuredRelativeIntensity$", r"MeasuredRelativeIntensity$"],
+    "frg_predicted": [r"^F\.PredictedRelativeIntensity$", r"PredictedRelativeIntensity$"],
+    "frg_excluded": [r"^F\.ExcludedFromQuantification$"],
+}
+FRAGMENT_FIELDS = ["frg_mz", "frg_type", "frg_num", "frg_z", "frg_loss", "frg_area", "frg_ion", "frg_measured", "frg_predicted", "frg_excluded"]
 DESIGN_HEADERS = {"run": "R_FileName", "condition": "R_Condition", "replicate": "R_Replicate", "fraction": "R_Fraction", "label": "R_Label"}
 JUNK_GENES = ["", "nan", "none", "null"]
 
@@ -40,7 +67,7 @@ def resolve(columns: list[str], candidates: list[str], pattern: bool = False) ->
     for c in candidates:
         for name in columns:
             for shape in (name, name.replace("_", ".")):
-                if re.match(c, shape, re.I) if pattern else shape == c:
+                if re.search(c, shape, re.I) if pattern else shape == c:
                     return name
     return None
 
@@ -61,7 +88,7 @@ def normalised(df: DataFrame, headers: dict[str, list[str]], pattern: bool) -> D
     return df.select(*cols)
 
 
-NUMBERS = ["mz", "rt", "im", "irt", "iim", "q", "global_q", "pg_q", "intensity", "normalized", "frg_mz", "frg_area"]
+NUMBERS = ["mz", "rt", "im", "irt", "iim", "q", "global_q", "pg_q", "intensity", "normalized", "pep", "ccs", "collision_energy", "frg_mz", "frg_area", "frg_measured", "frg_predicted"]
 
 
 def typed(df: DataFrame) -> DataFrame:

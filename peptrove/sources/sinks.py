@@ -15,13 +15,13 @@ def replace_partitions(df: DataFrame, path: str, key: str = "search_id") -> None
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def checksum(df: DataFrame) -> tuple[int, int]:
-    """Rows, and a sum of row hashes that no order or chunking changes."""
+def checksum(df: DataFrame) -> tuple[int, int, int]:
+    """Rows, and the exclusive or and the sum of row hashes, which no order or chunking changes."""
     row = df.select(F.xxhash64(*(F.col(f"`{c}`") for c in sorted(df.columns))).alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
-    return row.n, hash((row.x or 0, int(row.s or 0)))
+    return row.n, row.x or 0, int(row.s or 0)
 
 
-def write_verified(df: DataFrame, path: str) -> tuple[int, int]:
+def write_verified(df: DataFrame, path: str) -> tuple[int, int, int]:
     """Writes, reads back and compares; the checksum is what a registry keeps."""
     df.write.mode("overwrite").parquet(path)
     wrote, held = checksum(df), checksum(df.sparkSession.read.parquet(path))
@@ -62,10 +62,14 @@ def append_version(spark: SparkSession, path: str, component: str, version: str,
         return False
 
 
-def refresh(spark: SparkSession, directory: str, snapshots: list[tuple[str, Callable[[SparkSession], DataFrame]]]) -> dict[str, str | None]:
-    """Rebuilds snapshots in their order; one that fails doesn't stop those after it."""
+def refresh(spark: SparkSession, directory: str, snapshots: list[tuple[str, Callable[[SparkSession], DataFrame]]], needs: dict[str, list[str]] | None = None) -> dict[str, str | None]:
+    """Rebuilds snapshots in their order (B13). One that fails stops only those that need it (``needs``: name to
+    names before it), which keep what they had."""
     out: dict[str, str | None] = {}
     for name, build in snapshots:
+        if failed := [n for n in (needs or {}).get(name, []) if out.get(n, "not refreshed before it") is not None]:
+            out[name] = f"needs {', '.join(failed)}"
+            continue
         try:
             build(spark).write.mode("overwrite").parquet(f"{directory}/{name}.parquet")
             out[name] = None

@@ -30,7 +30,7 @@ def test_corpus(spark):
     assert c.ions("PEPTIDE", 9).agg(F.max("charge")).first()[0] == 3 and c.coverage("PEPTIDE", ["PEP", "TLDE"]).first().covered == 7
     t = spark.createDataFrame([("a", 1.0, 0.0), ("a", 2.0, 0.0)], "key string, mz double, rt double")
     o = spark.createDataFrame([("b", 1.01, 0.5), ("b", 2.0, 9.0), ("a", 1.0, 0.0), ("c", 5.0, 0.0)], "partner string, other_mz double, other_rt double")
-    assert [tuple(r) for r in c.interference(t, o, tol=0.0101).collect()] == [("a", "b", 2, 1)]
+    assert [tuple(r) for r in c.interference(t, o, tol=0.0101).collect()] == [("a", "b", 2, 1, 0.5, True, 2)]
     assert clamp(None, 5, 1, 9) == 5 and clamp(99, 5, 1, 9) == 9
 
 

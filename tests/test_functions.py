@@ -84,7 +84,7 @@ def test_genes(spark):
     assert cls("alb") == "Blood / plasma" and cls("MYH7;X") == "Muscle" and cls("RPLP0") == "Ribosome / translation" and cls("XYZ") == "Other" and cls("") == "Other"
     kind = lambda s: one(spark, genes.contaminant_kind(F.lit("p"), F.col("s")), s=s)
     assert kind("KRT33") == "hair keratin" and kind("Cont_KRT1") == "skin keratin" and kind("KRT8") == "keratin (epithelial)" and kind("LYZ") == "lysozyme" and kind("zzz") == "contaminant"
-    custom = lambda g, n: one(spark, genes.is_custom_accession(F.col("g"), F.col("n")), g=g, n=n)
+    custom = lambda g, n: one(spark, genes.made_up(F.col("g"), F.col("n")), g=g, n=n)
     assert custom("P0000", "x") and custom("P1", "x") and custom("P02649", "whoKnows") and not custom("P02649", "APOE")
 
 
@@ -105,3 +105,9 @@ def test_text(spark):
     assert (p.client, p.pi, p.project) == ("home institution", "Pi", "Proj")
     assert one(spark, text.path_provenance(F.col("s")), s="/x/lab/QC").project == "QC" and one(spark, text.path_provenance(F.col("s")), s="/x").scope == "unknown"
     assert one(spark, text.is_palindrome(F.col("s")), s="ABBA") and one(spark, text.number_after(F.col("s"), "avg of ", " runs"), s="avg of 12 runs") == 12
+
+
+def test_export_names(spark):
+    names = lambda p: one(spark, text.report_name(F.col("p")), p=p)
+    assert names("/d/Ver_15_Report.parquet") == "Ver_15" and names("D:\\x\\a_Report_FRAN (Normal).tsv") == "a" and names("/d/e/_report.parquet") == "e"
+    assert one(spark, text.without_timestamp(F.col("p")), p="20240102_030405_run") == "run" and one(spark, text.without_timestamp(F.col("p")), p="2024_run") == "2024_run"

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,29 @@ def test_isotonic_needs_rows(spark):
     arms = {"a": many.select("k", F.col("x").alias("prior")), "b": many.where("k < 300").select("k", F.col("x").alias("prior"))}
     out = {r.arm: (r.reach, r.n_common) for r in S.compare_selectors(arms, many.select("k", F.col("y").alias("rt")), key="k").collect()}
     assert out == {"a": (400, 300), "b": (300, 300)}
+
+
+def test_allowed_requests(spark):
+    """Brute force over a list of allowed times; a refused request counts for nothing."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randrange(60)) for i in range(300)]
+    got = {r.i: r.allowed for r in A.allowed(spark.createDataFrame(rows, "i int, k string, t int").repartition(3), "k", F.col("t"), "i", 3, 5).collect()}
+    held, want = {}, {}
+    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        inside = [x for x in held.setdefault(k, []) if x >= t - 5]
+        want[i] = len(inside) < 3
+        held[k] = inside + [t] * want[i]
+    assert got == want and len(set(got.values())) == 2
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0] * 40 + [None], [1e-300, 1e300, 0.0, -7.5, 2.25, 2.25], None])
+def test_order_statistics(spark, values):
+    rng = random.Random(1)
+    values = values or [round(rng.gauss(0, 10), rng.randint(0, 12)) for _ in range(700)] + [1e9, -1e12]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    real = sorted(v for v in values if v is not None)
+    at = {f"r{k}": k for k in sorted({0, len(real) // 3, len(real) // 2, len(real) - 1})}
+    got = A.order_statistics(df, "v", {n: F.lit(k) for n, k in at.items()}, bins=16).first().asDict()
+    assert got == {n: real[k] for n, k in at.items()}
+    q = A.interpolated(df, "v", {"a": 0.1, "m": 0.5, "z": 1.0}).first()
+    assert [q.a, q.m, q.z] == pytest.approx([float(np.quantile(real, p)) for p in (0.1, 0.5, 1.0)], rel=1e-9)

@@ -39,6 +39,16 @@ def test_fragment_report(spark, sep):
     assert len(s) == 1 and s[0].frg_mz == [283.1, 300.1] and s[0].frg_loss == ["NH3", "noloss"] and s[0].frg_excluded == [None, False]
 
 
+def test_fallback_headers(spark):
+    """Reports without the preferred headers: the next pattern is taken, also for times, quality and labels."""
+    names = ["R.Raw File Name", "Group", "EG.PrecursorId", "FG.Charge", "EG.Qvalue", "PG.Qvalue", "EG.PrecursorMz", "EG.MeanApexRT", "EG.IRTEmpirical", "EG.CCS", "EG.TotalQuantity (Settings)", "FG.NormalizedMS2PeakArea", "F.FrgIon", "F.FrgMz", "F.FrgCharge", "F.MeasuredRelativeIntensity"]
+    df = spark.createDataFrame([("/d/a.raw", "P1", "_ACK_", 2, "0.001", "0.02", "400.5", "3.5", "12.5", "350", "77", "70", "y4", "300.1", "1", "55")], names)
+    r = P.fragment_precursors(df).first()
+    assert (r.run, r.grp, r.modified, r.mz, r.rt, r.irt, r.intensity, r.normalized) == ("a", "P1", "ACK", 400.5, 3.5, 12.5, 77.0, 70.0) and r.pg_q == pytest.approx(0.02) and r.ccs == 350.0
+    s = P.spectra(df).first()
+    assert s.frg_ion == ["y4"] and s.frg_z == [1] and s.frg_area == [55.0] and s.frg_measured == [55.0]
+
+
 def test_float_decoding(spark):
     xs = [0.0, 1.5, -2.25, 1e10, 3.14159]
     parts = [base64.b64encode(struct.pack("<2f", *xs[:2])).decode(), base64.b64encode(struct.pack("<3f", *xs[2:])).decode()]
@@ -98,6 +108,8 @@ def test_sinks(spark, tmp_path):
         raise RuntimeError("no")
     state = K.refresh(spark, str(tmp_path), [("bad", broken), ("good", lambda s: s.range(2))])
     assert state["good"] is None and "no" in state["bad"] and spark.read.parquet(str(tmp_path / "good.parquet")).count() == 2
+    kept = K.refresh(spark, str(tmp_path), [("bad", broken), ("good", lambda s: s.range(5)), ("child", lambda s: s.range(1)), ("grandchild", lambda s: s.range(1))], {"child": ["bad", "good"], "grandchild": ["child"], "good": []})
+    assert kept["good"] is None and kept["child"] == "needs bad" and kept["grandchild"] == "needs child" and not (tmp_path / "child.parquet").exists()
     assert K.append_version(spark, str(tmp_path / "log"), "c", "1") and "| search_id |" in K.brief("t", {"n": 2}, {"rows": df})
     built = K.top_up(df.where("v = 1").select("search_id"), df, "search_id", lambda x: x)
     assert [r.search_id for r in built.collect()] == ["b"]
