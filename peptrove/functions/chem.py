@@ -34,22 +34,32 @@ def residues(seq: Column) -> Column:
     return F.filter(letters(F.upper(F.trim(seq))), lambda c: c.isin(*RESIDUES))
 
 
+def let(value: Column, body) -> Column:
+    """An expression of a value that is worked out once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
 def physchem(seq: Column) -> Column:
     """Length, mass, m/z at 2 and 3 charges, mean hydropathy, residue counts, tryptic end (D1); null without residues."""
-    aa, up = residues(seq), F.upper(F.trim(seq))
-    n = F.size(aa)
-    mass = F.round(total(F.transform(aa, lambda c: F.element_at(table_of(RESIDUES), c))) + WATER_SHORT, 4)
-    gravy = F.round(total(F.transform(aa, lambda c: F.element_at(table_of(HYDROPATHY), c))) / n, 3)
-    counts = F.struct(*((F.length(up) - F.length(F.replace(up, F.lit(c), F.lit("")))).alias(c) for c in COUNTED))
-    out = F.struct(
-        n.alias("length"), mass.alias("monoisotopic_mass"), F.round((mass + 2 * PROTON_SHORT) / 2, 4).alias("mz_2plus"), F.round((mass + 3 * PROTON_SHORT) / 3, 4).alias("mz_3plus"),
-        gravy.alias("gravy"), (gravy > 0).alias("hydrophobic"), counts.alias("counts"), F.right(up, F.lit(1)).isin("K", "R").alias("tryptic"),
-    )
-    return F.when(n > 0, out)
+    def of(aa: Column) -> Column:
+        up, n = F.upper(F.trim(seq)), F.size(aa)
+        counts = F.struct(*((F.length(up) - F.length(F.replace(up, F.lit(c), F.lit("")))).alias(c) for c in COUNTED))
+        weigh = lambda values: total(F.transform(aa, lambda c: F.element_at(table_of(values), c)))
+
+        def shown(x: Column) -> Column:
+            mass, gravy = x["mass"], x["gravy"]
+            return F.struct(
+                n.alias("length"), mass.alias("monoisotopic_mass"), F.round((mass + 2 * PROTON_SHORT) / 2, 4).alias("mz_2plus"), F.round((mass + 3 * PROTON_SHORT) / 3, 4).alias("mz_3plus"),
+                gravy.alias("gravy"), (gravy > 0).alias("hydrophobic"), counts.alias("counts"), F.right(up, F.lit(1)).isin("K", "R").alias("tryptic"),
+            )
+
+        return F.when(n > 0, let(F.struct(F.round(weigh(RESIDUES) + WATER_SHORT, 4).alias("mass"), F.round(weigh(HYDROPATHY) / n, 3).alias("gravy")), shown))
+
+    return let(residues(seq), of)
 
 
 def il_key(seq: Column) -> Column:
@@ -67,23 +77,24 @@ def il_variants(seq: str, most: int = 12) -> list[str]:
 
 def ladder(seq: Column, charges: int = 2, carbamidomethyl: bool = True) -> Column:
     """Array of struct(mz, ion, type, series, charge): the b and y ions by m/z."""
-    aa = residues(seq)
-    mass = F.transform(aa, lambda c: F.element_at(table_of(RESIDUES), c) + (F.when(c == "C", CARBAMIDOMETHYL).otherwise(0.0) if carbamidomethyl else F.lit(0.0)))
-    n = F.size(aa)
-    cuts = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    def ions(kind: str) -> Column:
-        def at(i: Column) -> Column:
-            part = F.slice(mass, F.lit(1), i) if kind == "b" else F.slice(mass, n - i + 1, i)
-            neutral = total(part) + F.lit(WATER if kind == "y" else 0.0)
-            return F.transform(
-                F.array(*(F.lit(z) for z in range(1, charges + 1))),
-                lambda z: F.struct(F.round((neutral + z * PROTON) / z, 5).alias("mz"), F.concat(F.lit(kind), i.cast("string")).alias("ion"), F.lit(kind).alias("type"), i.alias("series"), z.alias("charge")),
-            )
-
-        return F.flatten(F.transform(cuts, at))
-
-    return F.array_sort(F.concat(ions("b"), ions("y")))
+    def of(mass: Column) -> Column:
+        n = F.size(mass)
+        cuts = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+
+        def ions(kind: str) -> Column:
+            def at(i: Column) -> Column:
+                part = F.slice(mass, F.lit(1), i) if kind == "b" else F.slice(mass, n - i + 1, i)
+
+                def charged(neutral: Column) -> Column:
+                    return F.array(*(F.struct(F.round((neutral + z * PROTON) / z, 5).alias("mz"), F.concat(F.lit(kind), i.cast("string")).alias("ion"), F.lit(kind).alias("type"), i.alias("series"), F.lit(z).alias("charge")) for z in range(1, charges + 1)))
+
+                return let(total(part) + F.lit(WATER if kind == "y" else 0.0), charged)
+
+            return F.flatten(F.transform(cuts, at))
+
+        return F.array_sort(F.concat(ions("b"), ions("y")))
+
+    return let(F.transform(residues(seq), lambda c: F.element_at(table_of(RESIDUES), c) + (F.when(c == "C", CARBAMIDOMETHYL).otherwise(0.0) if carbamidomethyl else F.lit(0.0))), of)
 
 
 def ion_mz(seq: Column, label: Column, charge: Column | int = 1) -> Column:
