@@ -323,19 +323,19 @@ def meetings(points: DataFrame) -> DataFrame:
 
 def meetings_between(points: DataFrame, roots: DataFrame) -> list[DataFrame]:
     """Images (a, b) of different classes (rows node, root) that meet: every two of a bucket, in blocks of
-    two chunks. One frame a pass; a pass takes the blocks of a share of the buckets' chunks."""
+    two chunks. One frame a pass; a pass takes the meetings of a share of the pairs of images."""
     parts = corner_keys(points).join(roots.select(F.col("node").alias("__n"), "root"), F.col("c.node") == F.col("__n")).select("c", "key", "root")
     mixed = parts.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     mixed = materialize(mixed.select("key", "n", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int").alias("chunks")), "image-buckets")
     pairs = mixed.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0
     passes = max(1, math.ceil(pairs / MOST_PAIRS))
-    dealt = materialize(parts.join(mixed.select("key", "chunks"), "key").withColumn("own", F.pmod(F.xxhash64("c"), "chunks").cast("int")), "image-members")
+    dealt = parts.join(mixed.select("key", "chunks"), "key").withColumn("own", F.pmod(F.xxhash64("c"), "chunks").cast("int"))
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    one = dealt.select("key", "c", "root", F.col("own").alias("i"), F.explode(F.filter(every, lambda k: k >= F.col("own"))).alias("j"))
-    two = dealt.select("key", F.col("c").alias("o"), F.col("root").alias("other"), F.col("own").alias("j"), F.explode(F.filter(every, lambda k: k <= F.col("own"))).alias("i"))
+    one = materialize(dealt.select("key", "c", "root", F.col("own").alias("i"), F.explode(F.filter(every, lambda k: k >= F.col("own"))).alias("j")), "image-rows")
+    two = materialize(dealt.select("key", F.col("c").alias("o"), F.col("root").alias("other"), F.col("own").alias("j"), F.explode(F.filter(every, lambda k: k <= F.col("own"))).alias("i")), "image-columns")
     out = []
     for k in range(passes):
-        # both corners of a pair lie in the pass of the smaller and the larger image's remainders, so a pair's meetings come together
+        # two images have one pass, so that their meetings are counted together
         own = lambda c: F.pmod(F.xxhash64(f"{c}.node"), F.lit(passes))
         met = one.join(two, ["key", "i", "j"]).where((F.col("root") != F.col("other")) & ((F.col("i") < F.col("j")) | (F.col("c") < F.col("o"))))
         out.append(often(met.where(F.pmod(own("c") + own("o"), F.lit(passes)) == k).select("c", "o")))
