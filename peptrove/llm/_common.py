@@ -41,6 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
+def own_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{shared_dir(spark)}/peptrove/{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables; call it when its results have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -50,7 +61,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     write go when it ends, not when the driver next collects its garbage.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/peptrove/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
