@@ -236,8 +236,11 @@ def template_scores(words: Column, index: list[dict], templates=TEMPLATES) -> Co
     def verified(h: Column) -> Column:
         return F.forall(F.element_at(phrases, h["t"] + 1), lambda p: F.slice(words, h["o"] + p["at"] + 1, F.size(p["p"])) == p["p"])
 
-    rare = F.array_intersect(words, indexed)
-    at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(rare, F.get(words, i)))
+    def places(rare: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(rare, F.get(words, i)))
+
+    # the file's indexed words are worked out once, as an element of an array
+    at = F.flatten(F.transform(F.filter(F.array(F.array_intersect(words, indexed)), lambda rare: F.size(rare) > 0), places))
     agreeing = F.array_sort(F.filter(F.flatten(F.transform(at, hits)), verified))
     start = F.struct(F.lit(-1).alias("t"), F.lit(-1).alias("o"), F.lit(0.0).alias("s"), none.alias("best"))
 
@@ -247,7 +250,7 @@ def template_scores(words: Column, index: list[dict], templates=TEMPLATES) -> Co
         return F.struct(h["t"].alias("t"), h["o"].alias("o"), s.alias("s"), best.alias("best"))
 
     best = F.aggregate(agreeing, start, step, lambda acc: acc["best"])
-    return F.when((F.size(words) > 0) & (F.size(rare) > 0), best).otherwise(none)
+    return F.when(F.size(words) > 0, best).otherwise(none)
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text", templates=TEMPLATES) -> DataFrame:
