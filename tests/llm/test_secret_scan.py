@@ -1,3 +1,4 @@
+import hashlib
 import random
 import string
 
@@ -119,3 +120,28 @@ def test_findings_written_by_hand():
         if got != (text.replace(secret, "[secret]") if secret else text):
             wrong.append((text, got))
     assert not wrong
+
+
+def test_query_against_plain_walks(spark, tmp_path):
+    """Every row of the query against walking each tree for each candidate, one at a time."""
+    forest = S.default_forest()
+    texts = [t for t, *_ in S.labelled_findings(60, 9)] + TEXTS + ["é" * 40 + t for t, _ in BY_HAND] + [" ".join(t for t, *_ in S.labelled_findings(40, 10))]
+    rows = [(i, t, ["tests/x", "src/a.py", None, "package.lock"][i % 4]) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def walk(tree, x):
+        feature, cut, left, right, value = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if x[feature[at]] <= cut[at] else right[at]
+        return value[at]
+
+    want = []
+    for i, t, path in rows:
+        raw = (t or "").encode()
+        for s, e, kind in S.candidates(raw):
+            x = S.describe(raw, s, e, kind, path or "")
+            p = sum(walk(tree, x) for tree in forest.trees) / len(forest.trees)
+            want.append((i, kind, len(raw[:s].decode()), len(raw[s:e].decode()), hashlib.sha256(raw[s:e]).hexdigest()[:16], round(p, 9), p >= S.THRESHOLD))
+    got = [(r.doc_id, r.kind, r.start, r.length, r.fingerprint, round(r.score, 9), r.is_secret) for r in S.op3_random_forest(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len({r[-1] for r in got}) == 2
