@@ -104,3 +104,18 @@ def test_odd_rows(spark):
     rows = {r.page_id: r.text for r in X.extract(df, ["page_id", "url"]).collect()}
     assert rows[1] == rows[2] == "" and rows[3].startswith("A title") and len(rows[None]) == 20_000 * 16 - 1
     assert X.extract(df.limit(0), ["page_id"]).collect() == [] and X.extract(df, ["page_id"]).count() == 5
+
+
+def test_query_against_all_labellings(spark, tmp_path, model):
+    """Every row of the query against the likeliest of all label sequences of short pages."""
+    pages = [p for p, _ in X.labelled_pages(60, seed=21) if 0 < len(X.blocks(p)) <= 11] + ["", None, "<p>one</p>", "no markup at all", PAGE.replace("Third", "&#84;hird")]
+    spark.createDataFrame([(i, f"u{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(2).write.parquet(str(tmp_path / "pages.parquet"))
+    want = {}
+    for i, p in enumerate(pages):
+        own = X.blocks(p or "")
+        e = model.emissions(X.features(own)) if own else np.zeros((0, 2))
+        weigh = lambda y, e=e: model.start[y[0]] + sum(e[k, v] for k, v in enumerate(y)) + sum(model.move[a, b] for a, b in zip(y, y[1:])) if y else 0.0
+        best = max(itertools.product((0, 1), repeat=len(own)), key=weigh)
+        want[i] = "\n\n".join(b.text for b, y in zip(own, best, strict=True) if y)
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in X.op8_linear_chain(spark, str(tmp_path)).collect()}
+    assert got == {i: (f"u{i}", t, len(t)) for i, t in want.items()} and sum(map(bool, want.values())) > 10
