@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+def is_small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether a side's plan proves that it may be broadcast."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= (BROADCAST_BYTES if most is None else most)
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
     """Marks a side for broadcast if its plan proves it small, else leaves the choice to Spark."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= most else df
+    return F.broadcast(df) if is_small(df, most) else df
 
 
 def binned_range_join(left: DataFrame, right: DataFrame, x: str, y: str, tol: float, on: list[str] | None = None, width: float = 4.0) -> DataFrame:
@@ -82,6 +86,14 @@ def link_by_keys(left: DataFrame, right: DataFrame, keys: list[Column], right_ke
 
 
 def contained_name(left: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
-    """The least of the names that a text contains, ignoring case (E16). ``names`` is a small dimension."""
-    met = left.select(text).distinct().join(small(names.select(name).distinct()), F.lower(F.col(text)).contains(F.lower(F.col(name))) & (F.col(name) != ""))
+    """The least of the names that a text contains, ignoring case (E16). Few names are broadcast; of many
+    the lengths are, and the texts' parts of those lengths meet the names in a join."""
+    wanted, texts = names.select(name, F.lower(name).alias("__p")).where(F.col(name) != "").distinct(), left.select(text).distinct()
+    if is_small(wanted):
+        met = texts.join(F.broadcast(wanted), F.lower(F.col(text)).contains(F.col("__p")))
+    else:
+        lengths, low = [r[0] for r in wanted.select(F.length("__p")).distinct().collect()], F.lower(F.col(text))
+        places = lambda k: F.when(F.length(low) >= k, F.sequence(F.lit(1), F.length(low) - k + 1)).otherwise(F.array().cast("array<int>"))
+        parts = F.flatten(F.transform(F.array(*(F.lit(k) for k in lengths)), lambda k: F.transform(places(k), lambda i: F.substr(low, i, k))))
+        met = texts.select(text, F.explode(F.array_distinct(parts)).alias("__p")).join(wanted, "__p")
     return left.join(met.groupBy(text).agg(F.min(name).alias(name)), text, "left")

@@ -117,12 +117,15 @@ def isotonic_residuals(df: DataFrame, x: str, y: str, key: str, folds: int = 5,
     from pyspark.ml.regression import IsotonicRegression
 
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
-    rows = rows.select(key, x, y, "fold").persist()  # each fold reads it twice
-    if rows.count() < least:
-        return rows.limit(0).select(key, "fold", F.lit(None).cast("double").alias("residual"))
+    rows = rows.select(key, x, y, "fold").persist()  # while the models are fitted
+    try:
+        if rows.count() < least:
+            return rows.limit(0).select(key, "fold", F.lit(None).cast("double").alias("residual"))
+        fitted = [IsotonicRegression(featuresCol=x, labelCol=y, predictionCol="__p").fit(rows.where(F.col("fold") != k).select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))) for k in range(folds)]
+    finally:
+        rows.unpersist()
     parts = []
-    for k in range(folds):
-        model = IsotonicRegression(featuresCol=x, labelCol=y, predictionCol="__p").fit(rows.where(F.col("fold") != k).select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)))
+    for k, model in enumerate(fitted):
         parts.append(model.transform(rows.where(F.col("fold") == k).withColumn(x, F.col(x).cast("double"))).select(key, "fold", (F.col(y) - F.col("__p")).alias("residual")))
     out = parts[0]
     for p in parts[1:]:

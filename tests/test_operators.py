@@ -192,3 +192,16 @@ def test_order_statistics(spark, values):
     assert got == {n: real[k] for n, k in at.items()}
     q = A.interpolated(df, "v", {"a": 0.1, "m": 0.5, "z": 1.0}).first()
     assert [q.a, q.m, q.z] == pytest.approx([float(np.quantile(real, p)) for p in (0.1, 0.5, 1.0)], rel=1e-9)
+
+
+def test_contained_names_few_and_many(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [None, "", "Xab", "aXbA"] + ["".join(rng.choice("abAB ") for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    names = ["", None, "AB", "ba ", "aaa", "b", "zz", "bbbbb"]
+    df, dim = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), spark.createDataFrame([(n,) for n in names], "n string")
+    want = {i: min((n for n in names if n and t and n.lower() in t.lower()), default=None) for i, t in enumerate(texts)}
+    for most in (J.BROADCAST_BYTES * 1000, 0):
+        monkeypatch.setattr(J, "BROADCAST_BYTES", most)
+        out = J.contained_name(df, dim, "t", "n")
+        assert {r.i: r.n for r in out.collect()} == want
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
