@@ -125,21 +125,25 @@ def extract_traces(peaks: DataFrame, targets: DataFrame, ppm: float = 15.0, wind
     targets: target, channel, target_mz, precursor_mz, target_rt, target_im (null: not gated).
     Every cycle of a target's time window counts, with 0 where nothing is found.
     """
-    from .joins import binned_range_join, ppm_range_join
-
-    cycles = peaks.select("cycle", "rt").distinct()
-    spans = targets.select("target", "target_rt").distinct()
-    inside = binned_range_join(spans, cycles, "target_rt", "rt", window).select("target", F.col("cycle"), F.col("rt").alias("cycle_rt"))
-    hits = ppm_range_join(targets, peaks, "target_mz", "mz", ppm).where(
+    from .joins import binned_range_join, ppm_range_join, with_bins
+
+    # the cycles of a time, not of each target that has it
+    cycles, times = peaks.select("cycle", "rt").distinct(), targets.select("target_rt").distinct()
+    inside = binned_range_join(times, cycles, "target_rt", "rt", window).groupBy("target_rt").agg(F.collect_list(F.struct("cycle", "rt")).alias("__w"))
+    frame = targets.select("target", "channel", "target_rt").distinct().join(inside, "target_rt")
+    frame = frame.groupBy("target", "channel").agg(F.array_sort(F.flatten(F.collect_list("__w"))).alias("__w"))
+    # a target meets the peaks near its m/z and its time only
+    near, timed = with_bins(targets, peaks, "target_rt", "rt", window, "__time")
+    hits = ppm_range_join(near, timed, "target_mz", "mz", ppm, ["__time"]).where(
         (F.abs(F.col("rt") - F.col("target_rt")) <= window)
         & F.coalesce(F.col("precursor_mz").between(F.col("iso_low"), F.col("iso_high")), F.lit(True))
         & F.coalesce(F.abs(F.col("im") - F.col("target_im")) <= im_tol, F.lit(True))
     )
-    found = hits.groupBy("target", "channel", "cycle").agg(F.sum("intensity").alias("intensity"))
-    frame = inside.join(targets.select("target", "channel").distinct(), "target")
-    full = frame.join(found, ["target", "channel", "cycle"], "left").withColumn("intensity", F.coalesce("intensity", F.lit(0.0)))
-    folded = fold(full, ["target", "channel"], "cycle", "cycle_rt", "intensity")
-    return folded.select("target", "channel", F.size("cycle").alias("n_cycles"), resample(F.col("intensity"), points).alias("trace"))
+    found = hits.where("cycle is not null").groupBy("target", "channel", "cycle").agg(F.sum("intensity").alias("intensity"))
+    found = found.groupBy("target", "channel").agg(F.map_from_entries(F.collect_list(F.struct("cycle", "intensity"))).alias("__m"))
+    values = F.transform("__w", lambda w: F.coalesce(F.try_element_at("__m", w["cycle"]), F.lit(0.0)))
+    full = frame.join(found, ["target", "channel"], "left").select("target", "channel", values.alias("intensity"))
+    return full.select("target", "channel", F.size("intensity").alias("n_cycles"), resample(F.col("intensity"), points).alias("trace"))
 
 
 def normalise(df: DataFrame, by: list[str], trace: str = "trace") -> DataFrame:

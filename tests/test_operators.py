@@ -132,6 +132,27 @@ def test_trace_extraction(spark):
     assert max(max(r.trace) for r in R.normalise(spark.createDataFrame([("t", 0, [0.0, 4.0])], "target string, channel int, trace array<double>"), ["target"]).collect()) == 1.0
 
 
+def test_traces_against_plain_loops(spark):
+    """Several ions, times and channels of a target; a target meets the peaks of its own time only."""
+    rng = random.Random(8)
+    maybe = lambda v: v if rng.random() < 0.8 else None
+    peaks = [(c, c * 0.5, rng.choice([500.0, 500.01, 600.0]), maybe(rng.choice([0.9, 1.0])), *(maybe((300.0, 700.0)) or (None, None)), float(rng.randint(1, 9))) for c in range(120) for _ in range(3)]
+    targets = [(t, rng.randint(0, 1), rng.choice([500.0, 600.0]), rng.choice([400.0, 900.0]), maybe(rng.choice([-9.0, 0.0, 7.0, 7.5, 30.0])), maybe(1.0)) for t in range(30) for _ in range(3)]
+    want = {}
+    for t, ch in {(x[0], x[1]) for x in targets}:
+        own = [x for x in targets if x[:2] == (t, ch) and x[4] is not None]
+        cycles = sorted(c for rt in {x[4] for x in own} for c in range(120) if abs(c * 0.5 - rt) <= 2)
+        ok = lambda x, p: abs(p[2] - x[2]) <= x[2] * 15e-6 and abs(p[1] - x[4]) <= 2 and (p[4] is None or p[4] <= x[3] <= p[5]) and (p[3] is None or x[5] is None or abs(p[3] - x[5]) <= 0.03)
+        if cycles:
+            want[t, ch] = (len(cycles), [sum(p[6] for x in own for p in peaks if p[0] == c and ok(x, p)) for c in (cycles[0], cycles[-1])])
+    out = R.extract_traces(
+        spark.createDataFrame(peaks, "cycle int, rt double, mz double, im double, iso_low double, iso_high double, intensity double"),
+        spark.createDataFrame(targets, "target int, channel int, target_mz double, precursor_mz double, target_rt double, target_im double"), window=2.0, points=2)
+    assert {(r.target, r.channel): (r.n_cycles, list(r.trace)) for r in out.collect()} == want and any(v[1][0] for v in want.values())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__time" in line for line in plan.splitlines() if "Join" in line and "mz" in line)
+
+
 def exact_tail(k, n_all, marked, drawn):
     return sum(math.comb(marked, i) * math.comb(n_all - marked, drawn - i) for i in range(max(k, 0), min(marked, drawn) + 1)) / math.comb(n_all, drawn)
 
