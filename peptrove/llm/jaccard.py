@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lean, materialize, slices, steady, table, texts_of, with_row_id
+from ._common import dealt, lean, materialize, slices, steady, table, texts_of, with_row_id
 from ._words import hashed, mix64
 from .components import components
 
@@ -272,16 +272,16 @@ def verify(blocks: DataFrame, threshold: float) -> DataFrame:
         if len(held) > 1 and (out := close(held)) is not None:
             yield out
 
-    dealt = blocks.select(*kept).repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3")
-    return dealt.mapInArrow(lean(run), "node long, links long, root long")
+    placed = blocks.select(*kept).repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3")
+    return placed.mapInArrow(lean(run), "node long, links long, root long")
 
 
 def block_rows(nodes: DataFrame, group: str, sizes: DataFrame, tree) -> DataFrame:
     """Deals groups into chunks; every pair of chunks is a block. ``sizes``: group, chunks."""
-    dealt = nodes.join(sizes, group).withColumn("chunk", F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.col("chunks")).cast("long"))
+    placed = nodes.join(dealt(sizes), group).withColumn("chunk", F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.col("chunks")).cast("long"))
     other = F.explode(F.when(F.col("chunks") > 1, F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).otherwise(F.array(F.lit(0).cast("long"))))
-    dealt = dealt.withColumn("other", other)
-    return dealt.select(F.col(group).alias("g1"), F.least("chunk", "other").alias("g2"), F.greatest("chunk", "other").alias("g3"), tree.cast("int").alias("tree"), "chunk", "node")
+    placed = placed.withColumn("other", other)
+    return placed.select(F.col(group).alias("g1"), F.least("chunk", "other").alias("g2"), F.greatest("chunk", "other").alias("g3"), tree.cast("int").alias("tree"), "chunk", "node")
 
 
 def chunk_count():
@@ -297,20 +297,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     sig = materialize(signatures(rows, base, trees), "signatures")
     worded = sig.where("n_words > 0")
     reps = worded.groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
-    nodes = materialize(reps.join(sig.select(F.col("rid").alias("node"), "n_words", "paths"), "node"), "nodes")
+    nodes = materialize(reps.join(dealt(sig.select(F.col("rid").alias("node"), "n_words", "paths")), "node"), "nodes")
     path = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.get("paths", 2 * t).alias("key"), F.get("paths", 2 * t + 1).alias("rest")))
     paths = nodes.select("node", F.inline(path))
     met = paths.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(paths.join(met, "key"), "shared-paths")
-    ends = materialize(shortened(shared, base, trees, threshold, recall, leaf).join(nodes.select("node", "n_words"), "node"), "prefixes")
+    ends = materialize(shortened(shared, base, trees, threshold, recall, leaf).join(dealt(nodes.select("node", "n_words")), "node"), "prefixes")
     tries = ends.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead"), chunk_count().alias("chunks"), F.min("tree").alias("tree")).where("n > 1")
     tries = materialize(tries, "tries")
-    hits = materialize(ends.select("node", "key").join(tries, "key"), "hits")
+    hits = materialize(ends.select("node", "key").join(dealt(tries), "key"), "hits")
     groups = components(hits.select(F.col("node").alias("a"), F.col("lead").alias("b")))
     member = groups.select(F.col("a").alias("node"), F.col("b").alias("grp")).unionByName(groups.select(F.col("b").alias("node"), F.col("b").alias("grp")).distinct())
-    member = materialize(member.join(nodes.select("node", "n_words"), "node"), "members")
+    member = materialize(member.join(dealt(nodes.select("node", "n_words")), "node"), "members")
     whole = member.groupBy("grp").agg(chunk_count().alias("chunks"), F.count("*").alias("m"))
-    loose = hits.join(member.select("node", "grp"), "node").groupBy("grp").agg(F.sum("chunks").alias("loose_rows"))
+    loose = hits.join(dealt(member.select("node", "grp")), "node").groupBy("grp").agg(F.sum("chunks").alias("loose_rows"))
     plan = materialize(whole.join(loose, "grp").withColumn("by_group", F.col("m") * F.col("chunks") <= F.col("loose_rows")), "plans")
     by_group = block_rows(member.select("node", "grp"), "grp", plan.where("by_group").select("grp", "chunks"), F.lit(-1))
     scattered = member.join(plan.where("not by_group").select("grp"), "grp", "left_semi").select("node")
@@ -318,12 +318,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     entries = F.map_from_entries(F.collect_list(F.struct("tree", "key")))  # one a tree at most
     keys = hits.join(scattered, "node", "left_semi").groupBy("node").agg(entries.alias("m"))
     keys = keys.select("node", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(0).cast("long"))).alias("keys"))
-    payload = rows.select(F.col("rid").alias("node"), "text").join(member.select("node"), "node", "left_semi")
-    payload = materialize(payload.join(nodes.select("node", "copies", "h1"), "node").join(keys, "node", "left"), "payload")
-    found = materialize(verify(by_group.unionByName(by_trie).join(payload, "node"), threshold), "links")
+    payload = rows.select(F.col("rid").alias("node"), "text").join(dealt(member.select("node")), "node", "left_semi")
+    payload = materialize(payload.join(dealt(nodes.select("node", "copies", "h1")), "node").join(keys, "node", "left"), "payload")
+    found = materialize(verify(by_group.unionByName(by_trie).join(dealt(payload), "node"), threshold), "links")
     stars = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    info = nodes.select("node", "h1", "h2", "copies", "least_id").join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").join(links, "node", "left")
+    info = nodes.select("node", "h1", "h2", "copies", "least_id").join(dealt(stars.select(F.col("a").alias("node"), F.col("b").alias("root"))), "node", "left").join(links, "node", "left")
     info = materialize(info.select("node", "h1", "h2", "copies", "least_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "node-classes")
     ids = info.groupBy("root").agg(F.min("least_id").alias("class_id"))
     joined = sig.select("rid", "doc_id", "n_words", "h1", "h2").join(info.join(ids, "root").select("h1", "h2", "root", "class_id", "copies", "links"), ["h1", "h2"], "left")

@@ -148,3 +148,19 @@ def test_hot_group_makes_no_pairs(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = J.classes(df).agg(F.min("n_links"), F.count_distinct("class_id")).first()
     assert tuple(out) == (299, 1)
+
+
+def test_salted_rows_of_a_large_table_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the salted rows for a sixteenth of what they are; only few of them may go through the driver."""
+    from peptrove.llm import _common
+    from peptrove.llm import components as C
+
+    plans = []
+    monkeypatch.setattr(C, "materialize", lambda df, name, f=C.materialize: plans.append(df) or f(df, name))
+    edges = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    for most in (_common.FREE_BYTES, 0):
+        monkeypatch.setattr(_common, "FREE_BYTES", most)
+        plans.clear()
+        assert {(r.a, r.b) for r in components(edges).collect()} == {(i, 0) for i in range(1, 401)}
+        free = ["Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in plans]
+        assert len(free) > 2 and any(free) == (most > 0)
