@@ -120,11 +120,14 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
     while (i := page.find("<", at)) >= 0:
         name, closing, attributes = "", False, ""
         if page.startswith("<!--", i):
-            end = page.find("-->", i + 4) + 3
+            end = page.find("-->", i + 4)
+            end = end + 3 if end >= 0 else len(page)
         elif page.startswith("<![CDATA[", i):
-            end = page.find("]]>", i + 9) + 3
-        elif i > last:
-            break  # no tag ends any more
+            end = page.find("]]>", i + 9)
+            end = end + 3 if end >= 0 else len(page)
+        elif i > last:  # no tag ends any more, but a comment that doesn't may begin
+            at = i + 1
+            continue
         elif page.startswith(("<!", "<?"), i):
             end = page.find(">", i + 2) + 1
         elif m := TAG.match(page, i + 1):
@@ -133,7 +136,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
         else:
             at = i + 1
             continue
-        end = end if end > i else len(page)  # an unclosed comment
+        end = end if end > i else len(page)
         if name in RAW and not closing and not attributes.endswith("/"):
             m = re.compile(rf"</{name}\b", re.I).search(page, end)
             end = page.find(">", m.end()) + 1 if m else 0
